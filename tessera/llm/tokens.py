@@ -4,23 +4,31 @@ Both vocabularies cut texts into words before merging, and a single space betwee
 aren't white space always starts a new word. So a text's ids are those of its space-separated
 pieces one after another, and a piece's ids are kept for when it comes again. Pieces for which this doesn't hold (at
 a run of white space, with a special token) have their whole text encoded at once.
+
+A new piece that is a Latin word, with punctuation after it or not, is one word to merge (and its punctuation another),
+so it needn't be cut by the library again: many of them go to the library's merging model in one call, and
+where each begins or ends shows in its tokens. All other pieces take the library's whole path.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Pieces kept by a worker; then it starts anew.
-CACHED = 500_000
+CACHED = 200_000
 #: Characters cut into pieces at a time.
-SLICE = 1_000_000
-#: Stands between new pieces when they are encoded in one call; pieces that hold it are encoded alone.
-MARK = "~"
+SLICE = 500_000
+#: Words that one call merges.
+MERGED = 5_000
 #: Punctuation after a letter is always a word of its own, so it is encoded once for all words.
 TAIL = "!\"#$%&()*,-./:;?|"
 
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -46,8 +54,15 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[start:]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """ids(text): the ids as little-endian unsigned 32-bit integers, without special tokens added."""
+    """ids(texts): the ids as little-endian unsigned 32-bit integers, without special tokens added."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,40 +70,68 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
-        self.mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids begin a word (with its space) or, in vocabularies that mark ends, end one.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        letters = byte_letters()
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith(suffix) if suffix else t.startswith(letters[32]))]] = True
+        self.at_end = bool(suffix)
+        #: The same model behind a plain cut at \x00, for words already written in byte letters.
+        spec |= {"added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\x00"}}
+        self.merger = Tokenizer.from_str(json.dumps(spec))
+        self.letters = str.maketrans({chr(b): c for b, c in letters.items() if b != 0})
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), 256):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
         """Fills `known` with the ids of " " + piece; None: this piece depends on what stands beside it."""
-        cores = {p: c for p in pieces if (c := p.rstrip(TAIL)) != p and "A" <= c[-1:] < "\u0250" and c[-1:].isalpha()}
-        tails = {p[len(c) :] for p, c in cores.items()}.difference(self.tails)
-        self.tails.update(zip(tails, self.whole(list(tails))))
-        self._encode([p for p in {*pieces, *cores.values()}.difference(cores) if p not in self.known])
-        for p, c in cores.items():
-            self.known[p] = None if self.known[c] is None else self.known[c] + self.tails[p[len(c) :]]
-
-    def _encode(self, pieces: list[str]) -> None:
-        plain, alone = [], []
+        known, words, others, ends = self.known, set(), [], {}
         for p in pieces:
+            c = p.rstrip(TAIL)
+            if not _LATIN.fullmatch(c):
+                others.append(p)
+                continue
+            if c not in known:
+                words.add(c)
+            if len(c) < len(p):
+                ends[p] = c
+        tails = {p[len(c) :] for p, c in ends.items()}.difference(self.tails)
+        self.tails.update(zip(tails, self.whole(list(tails))))
+        self._merge(list(words))
+        alone = []
+        for p in others:
             if not p or p[0].isspace() or p[-1].isspace() or any(s in p for s in self.special):
-                self.known[p] = None
+                known[p] = None
+            else:
+                alone.append(p)
+        known.update(zip(alone, self.whole([" " + p for p in alone])))
+        for p, c in ends.items():
+            known[p] = known[c] + self.tails[p[len(c) :]]
+
+    def _merge(self, words: list[str]) -> None:
+        for i in range(0, len(words), MERGED):
+            part = words[i : i + MERGED]
+            if self.at_end:
+                text = self.tokenizer.normalizer.normalize_str(" ".join(part)).replace(" ", "\0")
             else:
-                (alone if MARK in p or len(self.mark) != 1 else plain).append(p)
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + f" {MARK} ".join(part) + f" {MARK}"], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) != len(part):
-                alone += part
+                text = " " + "\0 ".join(part)
+            text = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.edge[ids]) + self.at_end
+            if len(at) != len(part):
+                self.known.update(zip(part, self.whole([" " + w for w in part])))
                 continue
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(part, (ends * 4).tolist()):
-                self.known[p] = data[begin:end]
-                begin = end + 4
-        self.known.update(zip(alone, self.whole([" " + p for p in alone])))
+            at = at.tolist()
+            bounds = [0, *at] if self.at_end else [*at, len(ids)]
+            data = ids.tobytes()
+            self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(part, bounds, bounds[1:]))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         known = self.known
