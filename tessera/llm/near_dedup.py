@@ -28,7 +28,7 @@ NEAR = 3
 #: similarity of 0.8 that is six standard deviations below the mean).
 SKETCHED, AGREE = 3, 0.5
 #: Classes of a group that one task compares, and of a region of larger groups.
-GROUP, REGION = 4000, 1000
+GROUP, REGION = 1000, 400
 NO_ID = -(2**63)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
