@@ -7,11 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import dac, language, line_dedup, media, mixing, near_dedup, packing, quality, sharding
+from tessera.llm import dac, language, line_dedup, media, mixing, near_dedup, packing, pii, quality, sharding
 from tessera.llm.common import documents
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 
+#: Only for these queries; a real key is a secret and a parameter.
+PII_KEY = "key of the public test tables"
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
@@ -42,6 +45,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_file_digest(documents(spark, sf_dir), BYTE_BPE)
 
