@@ -17,8 +17,8 @@ from tessera.llm.common import n_words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
-#: Documents of all sources for each bucket, and residuals that meet at once above.
-BUCKET_ROWS, FAN = 20_000, 64
+#: Documents of a source for each bucket, and residuals that meet at once above.
+BUCKET_ROWS, FAN = 2_000, 64
 EPS = 1e-9
 
 
@@ -112,15 +112,16 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     words has target 0 and its documents 0 copies; an empty document is taken floor(f) times or once more by its own coin.
     """
     sized = written(docs.select("doc_id", "source", F.xxhash64("text").alias("fp_"), n_words(F.col("text")).alias("size")), "sizes")
-    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
-    sources = written(sources, "sources").withColumnRenamed("source", "source_key_")
-    buckets = sized.count() // bucket_rows + 1
+    sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.floor(F.count("*") / bucket_rows + 1).cast("int").alias("buckets_")), "sources")
+    sources = source_targets(sums.drop("buckets_"), weights, share, limit).withColumnRenamed("source", "source_key_")
+    sources = written(sources.join(sums.select("source", "buckets_"), F.col("source").eqNullSafe(F.col("source_key_"))).drop("source"), "targets")
+    buckets = sums.agg(F.max("buckets_")).first()[0] or 1
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     frac = f - F.floor(f)
     frac = F.when(F.col("size") > 0, frac).otherwise((_uniform(-1) < frac).cast("double"))
     units = sized.join(sources, F.col("source").eqNullSafe(F.col("source_key_"))).select(
         "doc_id", "source", "fp_", "size", "source_size", "target", F.floor(f).cast("int").alias("whole_"), frac.alias("x_"),
-        F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "fp_", "source"), F.lit(buckets)).cast("int").alias("bucket_"),
+        F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "fp_", "source"), F.col("buckets_")).cast("int").alias("bucket_"),
     )
     is_open = (F.col("x_") > 0) & (F.col("x_") < 1)
     first = written(_met(units, 0), "mixed")
