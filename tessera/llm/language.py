@@ -26,6 +26,8 @@ RIDGE = 0.05
 #: Where the grams of order n begin among all.
 STARTS = [0, SYMBOLS, SYMBOLS + SYMBOLS**2, SYMBOLS + SYMBOLS**2 + SYMBOLS**3]
 UNKNOWN = "und"
+#: Texts that score less are in none of the learned languages.
+LEAST_SCORE = 0.1
 
 _tables: list[np.ndarray] = []
 
@@ -182,17 +184,24 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return language_id(docs, train(docs, rows))
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """docs whose text has a language; a document without a letter goes. Nothing is shuffled."""
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """docs in a learned language: without those that are `und` or score under `least`. Nothing is shuffled.
+
+    If nothing was learned, all stay.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
         seen = np.zeros(STARTS[-1], np.uint8)
-        for pdf in batches:
-            keep = []
-            for i in range(0, len(pdf), 128):
-                part = [grams(t, seen) for t in pdf["text"].iloc[i : i + 128]]
-                keep += [len(g) > 0 for g in part] if model.languages else [True] * len(part)
-            yield pdf[keep]
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            keep: list[bool] = []
+            for i in range(0, len(texts), 128):
+                part = [grams(t, seen) for t in texts[i : i + 128]]
+                best = model.scores(part).max(axis=1) if model.languages else np.ones(len(part))
+                keep += [not model.languages or (len(g) > 0 and b >= least) for g, b in zip(part, best)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInPandas(run, own)
+    return docs.mapInArrow(run, schema)
