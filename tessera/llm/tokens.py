@@ -5,9 +5,10 @@ aren't white space always starts a new word. So a text's ids are those of its sp
 pieces one after another, and a piece's ids are kept for when it comes again. Pieces for which this doesn't hold (at
 a run of white space, with a special token) have their whole text encoded at once.
 
-A new piece that is a Latin word, with punctuation after it or not, is one word to merge (and its punctuation another),
-so it needn't be cut by the library again: many of them go to the library's merging model in one call, and
-where each begins or ends shows in its tokens. All other pieces take the library's whole path.
+Two more places always part words: before punctuation that ends a Latin word, and around a single line break between
+other characters. So a piece is a word after its space, or without one (NO_SPACE), or punctuation (NO_SPACE, too).
+A new piece that is a Latin word after its space needn't be cut by the library again: many of them go to the library's merging
+model in one call, and where each begins or ends shows in its tokens. All other pieces take the library's whole path.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces kept by a worker; then it starts anew.
-CACHED = 200_000
+#: Pieces kept by a worker (about 200 bytes each); then it starts anew.
+CACHED = 1_000_000
 #: Characters cut into pieces at a time.
 SLICE = 500_000
 #: Words that one call merges.
 MERGED = 5_000
-#: Punctuation after a letter is always a word of its own, so it is encoded once for all words.
-TAIL = "!\"#$%&()*,-./:;?|"
+#: Marks a piece that no space precedes. Texts that hold it are encoded at once.
+NO_SPACE = "\x01"
 
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!\"#$%&()*,\-./:;?|]"
+_LATIN = re.compile(f"{_LETTER}+")
+# Both begin with what is rare, so that a search skips quickly to it.
+_BREAK = re.compile(r"\n(?<=\S\n)(?=\S)")
+_TAIL = re.compile(rf"{_MARK}(?<={_LETTER}{_MARK}){_MARK}*(?= )")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -69,7 +74,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
@@ -91,29 +95,20 @@ class Encoder:
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        """Fills `known` with the ids of " " + piece; None: this piece depends on what stands beside it."""
-        known, words, others, ends = self.known, set(), [], {}
+        """Fills `known` with the ids of pieces; None: this piece depends on what stands beside it."""
+        known, words, spaced, bare = self.known, [], [], []
         for p in pieces:
-            c = p.rstrip(TAIL)
-            if not _LATIN.fullmatch(c):
-                others.append(p)
+            if _LATIN.fullmatch(p):
+                words.append(p)
                 continue
-            if c not in known:
-                words.add(c)
-            if len(c) < len(p):
-                ends[p] = c
-        tails = {p[len(c) :] for p, c in ends.items()}.difference(self.tails)
-        self.tails.update(zip(tails, self.whole(list(tails))))
-        self._merge(list(words))
-        alone = []
-        for p in others:
-            if not p or p[0].isspace() or p[-1].isspace() or any(s in p for s in self.special):
+            text = p.removeprefix(NO_SPACE)
+            if not text or text != "\n" and (text[0].isspace() or text[-1].isspace()) or any(s in text for s in self.special):
                 known[p] = None
             else:
-                alone.append(p)
-        known.update(zip(alone, self.whole([" " + p for p in alone])))
-        for p, c in ends.items():
-            known[p] = known[c] + self.tails[p[len(c) :]]
+                (spaced if text is p else bare).append(p)
+        self._merge(words)
+        known.update(zip(spaced, self.whole([" " + p for p in spaced])))
+        known.update(zip(bare, self.whole([p[1:] for p in bare])))
 
     def _merge(self, words: list[str]) -> None:
         for i in range(0, len(words), MERGED):
@@ -133,21 +128,25 @@ class Encoder:
             data = ids.tobytes()
             self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(part, bounds, bounds[1:]))
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def batch(self, texts: list[str], begins: bool = True) -> list[bytes]:
+        """The ids of texts. Without begins, each is a later slice, with the space it was cut at."""
         known = self.known
         if len(known) > CACHED:
             known.clear()
-            self.tails.clear()
-        split = [t.split(" ") for t in texts]
-        firsts = self.whole([s[0] for s in split])
-        for s in split:
-            del s[0]
-        self._learn(list(set().union(*split).difference(known)))
+        split = []
+        for text in texts:
+            if NO_SPACE in text or not text:
+                split.append(None)
+                continue
+            t = _BREAK.sub(f" {NO_SPACE}\n {NO_SPACE}", text)
+            t = _TAIL.sub(rf" {NO_SPACE}\g<0>", t)
+            split.append((NO_SPACE + t if begins else t[1:]).split(" "))
+        self._learn(list(set().union(*filter(None, split)).difference(known)))
         out = []
-        for text, first, rest in zip(texts, firsts, split):
+        for text, parts in zip(texts, split):
             try:
-                out.append(first + b"".join(map(known.__getitem__, rest)) if not first or not rest or not text[: text.index(" ")][-1:].isspace() else self.whole([text])[0])
-            except TypeError:  # a piece without ids of its own
+                out.append(b"".join(map(known.__getitem__, parts)))
+            except TypeError:  # no parts, or a piece without ids of its own
                 out.append(self.whole([text])[0])
         return out
 
@@ -160,7 +159,7 @@ class Encoder:
             if len(text) > SLICE and not any(s in text for s in self.special):
                 yield from self.batch(held)
                 held, n = [], 0
-                yield b"".join(self.batch([s])[0] for s in slices(text))
+                yield b"".join(self.batch([s], i == 0)[0] for i, s in enumerate(slices(text)))
                 continue
             held.append(text)
             n += len(text)
@@ -168,10 +167,3 @@ class Encoder:
                 yield from self.batch(held)
                 held, n = [], 0
         yield from self.batch(held)
-
-
-def encoded(batches: Iterable, path: str) -> Iterator[tuple]:
-    """(pandas batch, list of ids) of batches that have a column `text`."""
-    of = encoder(path)
-    for pdf in batches:
-        yield pdf, list(of.ids(pdf["text"].tolist()))
