@@ -91,8 +91,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hot_sh
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hot_share: int = HOT_SHARE) -> DataFrame:
     """docs with text_kept (lines that stay, joined by \\n), n_lines and n_dropped; see keep_bitmaps."""
     maps = keep_bitmaps(docs, min_chars, min_docs, hot_share)
-    lines = F.split("text_", "\n")
-    kept = F.array_join(F.flatten(F.transform("keep_runs_", lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
+    # The list of one list of lines is there so that a text is split once, not for each run.
+    of = lambda lines: F.array_join(F.flatten(F.transform("keep_runs_", lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
+    kept = F.get(F.transform(F.array(F.split("text_", "\n")), of), F.lit(0))
     n_lines = (F.octet_length("text_") - F.octet_length(F.replace("text_", F.lit("\n"), F.lit(""))) + 1).cast("long")
     own = [c for c in docs.columns if c not in ("text_kept", "n_lines", "n_dropped")]
     return _keyed(docs).join(maps, ["id_", "fp_"], "left").select(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import encoder, forget
 
 WINDOW = 4096
 #: Remainders that a bucket should hold: few windows stay open, and a task needs little memory.
@@ -68,10 +68,11 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return windows, offsets
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW, with_ids: bool = False, release: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids as little-endian unsigned 32-bit) of every piece.
 
-    A document is the ids of its whole text (null: empty) and end_id, cut into full windows and a remainder.
+    A document is the ids of its whole text (null: empty) and end_id, cut into full windows and a remainder. release:
+    workers let the vocabulary and known pieces go after each partition, for jobs in which other stages follow.
     """
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
@@ -89,6 +90,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDO
                     part = ids[at : at + 4 * window]
                     rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) + (part,) * with_ids)
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        if release:
+            forget(tokenizer)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInPandas(cut, schema)
@@ -127,5 +130,5 @@ def packed_windows(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) ->
     return packed.groupBy("sequence_id").agg(joined.alias("ids")).select("sequence_id", F.substring(F.concat("ids", pad), 1, 4 * window).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
-    return pack(pieces(docs, tokenizer, end_id, window), window)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW, release: bool = False) -> DataFrame:
+    return pack(pieces(docs, tokenizer, end_id, window, release=release), window)

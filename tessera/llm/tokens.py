@@ -44,6 +44,19 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Lets an encoder go and gives its memory back to the system."""
+    import ctypes
+    import gc
+
+    _encoders.pop(path, None)
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
     """text in parts of about `size` characters, cut before single spaces between other characters."""
     start, end = 0, size
