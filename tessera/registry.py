@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import decision_queries, feature_queries, retrieval_queries, text_queries
+from tessera.plans import decision_queries, feature_queries, model_queries, retrieval_queries, text_queries
 
-MODULES = (text_queries, retrieval_queries, feature_queries, decision_queries)
+MODULES = (text_queries, retrieval_queries, feature_queries, decision_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
