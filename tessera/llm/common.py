@@ -40,6 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: idle workers count, too."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_slices(batch, rows: int = 128):
+    """(first row, texts) of parts of an Arrow batch with a column `text`; only one part is in Python at a time."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    for i in range(0, batch.num_rows, rows):
+        yield i, column.slice(i, rows).to_pylist()
+
+
 def ascii_lower(x: Column) -> Column:
     """A-Z lower-cased and nothing else; all-ASCII strings take the fast built-in."""
     return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import text_slices, written
 from tessera.llm.tokens import encoder
 
 MAGIC = b"DAC1"
@@ -122,29 +122,31 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, segment_ids
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterable) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         part, of = TaskContext.get().partitionId(), encoder(tokenizer)
         keys, held, size, nth, first = [], [], 0, 0, 0
+        schema = pa.schema({"part": pa.int32(), "nth": pa.int32(), "first": pa.int64(), "n_ids": pa.int64(), "data": pa.binary()})
 
         def out():
-            return pd.DataFrame({"part": [part], "nth": [nth], "first": [first], "n_ids": [size], "data": [segment(keys, held)]})
-
-        for pdf in batches:
-            null = pdf["doc_id"].isna().tolist()
-            for lost, key, ids in zip(null, pdf["doc_id"].tolist(), of.ids(pdf["text"].tolist())):
-                keys.append(None if lost else int(key))
-                held.append(ids + end)
-                size += len(held[-1]) // 4
-                if size >= segment_ids:
-                    yield out()
-                    keys, held, nth, first, size = [], [], nth + 1, first + size, 0
+            return pa.RecordBatch.from_pylist([{"part": part, "nth": nth, "first": first, "n_ids": size, "data": segment(keys, held)}], schema)
+
+        for batch in batches:
+            ids_of = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            for begin, texts in text_slices(batch, 1024):
+                for key, ids in zip(ids_of[begin:], of.ids(texts)):
+                    keys.append(key)
+                    held.append(ids + end)
+                    size += len(held[-1]) // 4
+                    if size >= segment_ids:
+                        yield out()
+                        keys, held, nth, first, size = [], [], nth + 1, first + size, 0
         if held:
             yield out()
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInPandas(write, "part int, nth int, first long, n_ids long, data binary"), "dac")
+    return written(rows.mapInArrow(write, "part int, nth int, first long, n_ids long, data binary"), "dac")
 
 
 def read_digests(segments: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import text_slices, trim
+
 SYMBOLS, ORDERS = 64, 3
 #: Labelled documents that are learned from, at most, all languages together.
 TRAIN_ROWS = 1600
@@ -196,12 +198,12 @@ def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
 
         seen = np.zeros(STARTS[-1], np.uint8)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             keep: list[bool] = []
-            for i in range(0, len(texts), 128):
-                part = [grams(t, seen) for t in texts[i : i + 128]]
+            for _, texts in text_slices(batch):
+                part = [grams(t, seen) for t in texts]
                 best = model.scores(part).max(axis=1) if model.languages else np.ones(len(part))
                 keep += [not model.languages or (len(g) > 0 and b >= least) for g, b in zip(part, best)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, schema)

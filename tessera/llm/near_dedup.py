@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import trim, written
 
 TREES, DEPTH, LEAST = 20, 8, 4
 #: Classes that are neighbours in a sorted order.
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_shingles", "a_", "b_", "minima_"])
             out.insert(0, "id_", pdf["id_"].to_numpy())
             yield out
+        trim()
 
     ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("id_")
     return docs.select(ids, "text").mapInPandas(run, "id_ long, n_shingles long, a_ long, b_ long, minima_ binary")
@@ -134,7 +135,7 @@ def neighbours(classes: DataFrame) -> DataFrame:
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """pairs whose sketches (SKETCHED minima of each order, a byte each) agree in AGREE of their places or more."""
     sketch = F.concat(*[F.substring("minima_", t * 2 * DEPTH + 2 * d + 1, 1) for t in range(TREES) for d in range(SKETCHED)])
-    sketches = classes.groupBy("id_").agg(F.first(sketch).alias("s_"))
+    sketches = classes.select("id_", sketch.alias("s_"))  # several rows of an id only if documents share it
     with_both = pairs.join(sketches.select(F.col("id_").alias("a"), F.col("s_").alias("x_")), "a").join(sketches.select(F.col("id_").alias("b"), F.col("s_").alias("y_")), "b")
 
     def run(batches: Iterable) -> Iterator:
@@ -143,7 +144,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, n) for c in ("x_", "y_"))
             yield pdf.loc[(x == y).sum(axis=1) >= AGREE * n, ["a", "b"]]
 
-    return with_both.select("a", "b", "x_", "y_").mapInPandas(run, "a long, b long")
+    return with_both.select("a", "b", "x_", "y_").mapInPandas(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import text_slices, written
 from tessera.llm.tokens import encoder, forget
 
 WINDOW = 4096
@@ -78,23 +78,25 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDO
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def cut(batches: Iterable) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         of = encoder(tokenizer)
-        for pdf in batches:
-            rows = []
-            keys = pdf["doc_id"].astype("Int64")
-            for key, ids in zip(keys, of.ids(pdf["text"].tolist())):
-                ids += end
-                for at in range(0, len(ids), 4 * window):
-                    part = ids[at : at + 4 * window]
-                    rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) + (part,) * with_ids)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            for first, texts in text_slices(batch, 1024):
+                rows = []
+                for key, ids in zip(keys[first:], of.ids(texts)):
+                    ids += end
+                    for at in range(0, len(ids), 4 * window):
+                        part = ids[at : at + 4 * window]
+                        rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) + (part,) * with_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         if release:
             forget(tokenizer)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def pack(found: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:

@@ -19,6 +19,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from tessera.llm.common import trim
+
 #: Pieces kept by a worker (about 200 bytes each); then it starts anew.
 CACHED = 1_000_000
 #: Characters cut into pieces at a time.
@@ -46,15 +48,8 @@ def encoder(path: str) -> "Encoder":
 
 def forget(path: str) -> None:
     """Lets an encoder go and gives its memory back to the system."""
-    import ctypes
-    import gc
-
     _encoders.pop(path, None)
-    gc.collect()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    trim()
 
 
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
