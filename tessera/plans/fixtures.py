@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.operators.normalize import normalized
 from tessera.plans import sqltext as S
 from tessera.sources.stage import staged
 
@@ -71,12 +71,6 @@ records AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, 'S' ||
   ((length({_AT(6)}) * 7 + length({_AT(7)})) % 89 + 560001) AS address FROM docc)"""
 
 
-def normalized(df: DataFrame) -> DataFrame:
-    """The 13 columns of a normalized record, and source."""
-    name, address = F.col("name"), F.col("address")
-    return df.select("entity_id", "source", "country", *[c.alias(k) for k, c in text.name_columns(name).items()], *[c.alias(k) for k, c in text.address_columns(address, F.lower("country")).items()])
-
-
 NORMALIZED_SQL = (
     RECORDS_SQL + "," + S.name_ctes("records", "entity_id", "name", "names") + ","
     + S.address_ctes("names", "address", "country", "entity_id", "addrs")
@@ -96,7 +90,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
 
 
 def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "norm", lambda: normalized(records(spark, sf_dir)))
+    return stage(spark, sf_dir, "norm", lambda: normalized(records(spark, sf_dir), native=False))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import basic, fuzzy
 from tessera.functions import similarity as S
 from tessera.operators import context, decide, features, model, retrieve
+from tessera.operators.normalize import normalized
 from tessera.operators.splits import role
-from tessera.plans.fixtures import normalized
 from tessera.sources.stage import staged
 
 KEYS = ["country", "q_id", "s_id"]

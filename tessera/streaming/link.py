@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions import tables as T
 from tessera.operators import retrieve
-from tessera.plans.fixtures import normalized
+from tessera.operators.normalize import normalized
 from tessera.sources.stage import staged
 
 
