@@ -19,8 +19,8 @@ TRAIN_ROWS = 6000
 #: Words of a window whose repeats count.
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30
-#: The method's verdict keeps a document from this score on.
-THRESHOLD = 0.5
+#: The method's verdict keeps a document from this score on; doubtful ones stay.
+THRESHOLD = 0.25
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Names of the statistics that the trees see, and the sign of their constraint.
