@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rules that are tried: thresholds first (ties go to the first), then floors and unseen matches of the expected-F rule.
 THRESHOLDS = [round(0.02 + 0.025 * i, 3) for i in range(39)]
 FLOORS, EXTRAS = [0.02, 0.05, 0.1, 0.2, 0.3], [0.0, 0.1, 0.25]
+#: Probabilities that an entity may have for its fold to stay in the JVM.
+FOLDED = 12
 
 
 def by_threshold(best: DataFrame, threshold: float) -> DataFrame:
@@ -45,15 +49,70 @@ def best_k(ps: Column, extra: float = 0.0) -> Column:
     return F.array_min(values)["k"]
 
 
+def best_k_of_many(ps: np.ndarray, extra: float = 0.0) -> int:
+    """best_k() for long lists: distributions of all beginnings and ends are made step by step, so n records take n**3 steps."""
+    n = len(ps)
+    heads, tails = [np.ones(1)], [np.ones(1)]
+    for p in ps:
+        heads.append(np.convolve(heads[-1], [1 - p, p]))
+    for p in ps[::-1]:
+        tails.append(np.convolve(tails[-1], [1 - p, p]))
+    values = [float(np.prod(1 - ps) * np.exp(-extra))]
+    for k in range(1, n + 1):
+        right, missed = heads[k], tails[n - k]
+        a, u = np.arange(k + 1)[:, None], np.arange(n - k + 1)[None, :]
+        values.append(float(right @ (1.25 * a / (0.25 * (a + u + extra) + k)) @ missed))
+    return int(np.argmax(np.round(values, 9)))
+
+
+def chosen_k(ps: Column, extra: float = 0.0) -> Column:
+    """best_k() in the JVM for lists of up to FOLDED probabilities; only longer ones go to Python."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: best_k_of_many(np.asarray(x), extra), na_action="ignore").astype("Int32")
+
+    many = F.pandas_udf(run, "int", F.PandasUDFType.SCALAR)(F.when(F.size(ps) > FOLDED, ps))
+    return F.coalesce(many, F.when(F.size(ps) <= FOLDED, best_k(ps, extra)))
+
+
 def by_expected_f(best: DataFrame, floor: float = 0.05, extra: float = 0.0) -> DataFrame:
     """Rows of best pairs with p >= floor whose calibrated probability (column c, else p) is among their entity's best k.
 
-    The number of records that choose one entity is small (single digits on real data), so their list is too; the
-    cost of an entity grows with the fourth power of it, and lists over 64 are cut to the most probable.
+    The list of records that choose one entity is short on real data; an entity's cost grows with the third power of it.
     """
     c = "c" if "c" in best.columns else "p"
     rows = best.where(F.col("p") >= floor)
-    lists = rows.groupBy("country", "s_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(-F.col(c))), 1, 64), lambda x: -x).alias("ps_"))
-    ks = lists.select("country", "s_id", best_k(F.col("ps_"), extra).alias("k_"))
+    lists = rows.groupBy("country", "s_id").agg(F.transform(F.array_sort(F.collect_list(-F.col(c))), lambda x: -x).alias("ps_"))
+    ks = lists.select("country", "s_id", chosen_k(F.col("ps_"), extra).alias("k_"))
     w = Window.partitionBy("country", "s_id").orderBy(F.desc(c), "q_id")
     return rows.withColumn("rn_", F.row_number().over(w)).join(ks, ["country", "s_id"]).where(F.col("rn_") <= F.col("k_")).drop("rn_", "k_")
+
+
+def apply_rule(best: DataFrame, rule: dict) -> DataFrame:
+    """Best pairs by a rule: {"method": "thr", "thr": ...} or {"method": "ef", "floor": ..., "extra": ...}."""
+    return by_threshold(best, rule["thr"]) if rule["method"] == "thr" else by_expected_f(best, rule["floor"], rule["extra"])
+
+
+def rules() -> list[dict]:
+    """All rules in the order in which they are tried."""
+    return [{"method": "thr", "thr": t} for t in THRESHOLDS] + [{"method": "ef", "floor": f, "extra": x} for f in FLOORS for x in EXTRAS]
+
+
+def tuned(best: DataFrame, entities: DataFrame, truth: DataFrame, tried: list[dict] | None = None) -> tuple[dict, float]:
+    """The first of the rules with the largest macro F0.5 over entities, and that value. One job; a number for each rule comes back."""
+    from functools import reduce
+
+    from tessera.operators.metrics import entity_scores
+
+    tried = tried or rules()
+    near = best.join(entities.select("s_id"), "s_id", "left_semi")
+    named = lambda df, i, *columns: df.select(*columns, F.concat(F.lit(f"{i}@"), "s_id").alias("s_id"))
+    chosen = reduce(DataFrame.unionByName, [named(apply_rule(near, rule), i, "q_id") for i, rule in enumerate(tried)])
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(tried) - 1))).alias("i_")
+    many = lambda df, *columns: df.select(*columns, "s_id", every).select(*columns, F.concat(F.col("i_").cast("string"), F.lit("@"), "s_id").alias("s_id"))
+    scores = entity_scores(many(entities, "country"), many(truth.join(entities.select("s_id"), "s_id", "left_semi"), "q_id"), chosen)
+    rows = scores.groupBy(F.substring_index("s_id", "@", 1).cast("int").alias("i")).agg(F.round(F.avg("f05"), 9).alias("f")).collect()
+    if not rows:
+        return tried[0], 0.0
+    f, i = max((r["f"], -r["i"]) for r in rows)
+    return tried[-i], f

@@ -19,6 +19,12 @@ def role(s_id: Column, report_pct: int = 4, tune_pct: int = 4, how: str = "crc32
     return F.when(b < report_pct, 2).when(b < report_pct + tune_pct, 1).otherwise(0)
 
 
+def v1_split(s_id: Column, how: str = "crc32") -> Column:
+    """70 % fit, 15 % threshold, 15 % report."""
+    b = bucket(s_id, 100, how)
+    return F.when(b < 70, "fit").when(b < 85, "threshold").otherwise("report")
+
+
 def dev_filter(s1: DataFrame, queries: DataFrame, owners: DataFrame, share: float, how: str = "crc32") -> tuple[DataFrame, DataFrame]:
     """A slice of the index and of the queries: those owned by what is kept, and the same slice of the unowned. Records
     owned by entities that are dropped vanish."""

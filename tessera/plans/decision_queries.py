@@ -31,10 +31,11 @@ def bucket_sql(x: str, mod: int) -> str:
 
 
 @R.query(f"""WITH {RECORDS_SQL} SELECT entity_id, {bucket_sql('entity_id', 1000)} AS bucket, CASE WHEN {bucket_sql('entity_id', 100)} < 4 THEN 2 WHEN {bucket_sql('entity_id', 100)} < 8 THEN 1 ELSE 0 END AS role,
-{bucket_sql('entity_id', 2)} AS fold, {bucket_sql("'blank|' || entity_id", 100)} < 20 AS blank, {bucket_sql('entity_id', 10)} = 0 AS valid FROM records""")
+{bucket_sql('entity_id', 2)} AS fold, {bucket_sql("'blank|' || entity_id", 100)} < 20 AS blank, {bucket_sql('entity_id', 10)} = 0 AS valid,
+CASE WHEN {bucket_sql('entity_id', 100)} < 70 THEN 'fit' WHEN {bucket_sql('entity_id', 100)} < 85 THEN 'threshold' ELSE 'report' END AS v1_split FROM records""")
 def bucket_roles(spark, sf):
     i = F.col("entity_id")
-    return records(spark, sf).select("entity_id", SP.bucket(i, 1000, MD5).alias("bucket"), SP.role(i, how=MD5).alias("role"), SP.fold(i, MD5).alias("fold"), SP.blanked(i, MD5).alias("blank"), (SP.bucket(i, 10, MD5) == 0).alias("valid"))
+    return records(spark, sf).select("entity_id", SP.bucket(i, 1000, MD5).alias("bucket"), SP.role(i, how=MD5).alias("role"), SP.fold(i, MD5).alias("fold"), SP.blanked(i, MD5).alias("blank"), (SP.bucket(i, 10, MD5) == 0).alias("valid"), SP.v1_split(i, MD5).alias("v1_split"))
 
 
 @R.query()

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import basic, fuzzy
 from tessera.functions import similarity as S
-from tessera.operators import context, decide, features, model, retrieve
+from tessera.functions.text import words
+from tessera.operators import context, decide, difftab, features, model, retrieve
 from tessera.operators.normalize import normalized
-from tessera.operators.splits import role
+from tessera.operators.splits import blanked, role
 from tessera.sources.stage import staged
 
 KEYS = ["country", "q_id", "s_id"]
@@ -33,44 +34,91 @@ class Settings:
     rounds: int = 20
     threshold: float = 0.5
     strings: bool = True
+    native: bool = True
+    least_words: int = difftab.MIN_COUNT
+    rules: list[dict] | None = None
 
 
-def stage1_rows(records: DataFrame, owners: DataFrame, settings: Settings) -> DataFrame:
-    """Retrieved pairs with all features of one pair, y (candidate is owner) and held (owner is a report or tune entity)."""
+def labelled(pairs: DataFrame, records: DataFrame, owners: DataFrame, settings: Settings) -> DataFrame:
+    """pairs with both cores and numbers, y (the candidate is the owner) and held (the owner is a report or tune entity)."""
+    side = lambda x: records.select("country", F.col("entity_id").alias(f"{x}_id"), F.col("core").alias(f"{x}_core"), F.col("nums").alias(f"{x}_nums"))
+    own = owners.select("q_id", F.col("s_id").alias("own_"))
+    rows = pairs.join(side("q"), ["country", "q_id"]).join(side("s"), ["country", "s_id"]).join(own, "q_id", "left")
+    held = F.coalesce(role(F.col("own_"), settings.report_pct, settings.tune_pct) > 0, F.lit(False))
+    return rows.withColumns({"y": F.coalesce(F.col("own_") == F.col("s_id"), F.lit(False)), "held": held}).drop("own_")
+
+
+def difference_features(rows: DataFrame, settings: Settings) -> DataFrame:
+    """rows with the log-odds summaries of added and dropped words: d_ from labels (hidden for a fifth of the records, and
+    learned without held-out ones), px_ from kept numbers, by country."""
+    least = settings.least_words
+    supervised = difftab.supervised(rows.where((F.col("rank") < 5) & ~F.col("held")).withColumn("country", F.lit("all")), least)
+    near = difftab.proxy(rows.where(F.col("rank") < 3), least)
+    maps = difftab.as_maps(near).select("country", F.col("add").alias("px_a"), F.col("drop").alias("px_d"))
+    one = difftab.as_maps(supervised).select(F.col("add").alias("d_a"), F.col("drop").alias("d_d"))
+    # A row a country, and one row: words over the least count only.
+    both = rows.join(F.broadcast(maps), "country", "left").join(F.broadcast(one), F.lit(True), "left")
+    q, s = (F.array_distinct(words(F.col(f"{x}_core"))) for x in "qs")
+    hidden, empty = blanked(F.col("q_id")), F.create_map().cast("map<string,double>")
+    columns = S.word_log_odds(q, s, F.coalesce("px_a", empty), "px_add") | S.word_log_odds(s, q, F.coalesce("px_d", empty), "px_drop")
+    columns |= S.word_log_odds(q, s, F.when(hidden, empty).otherwise(F.coalesce("d_a", empty)), "d_add") | S.word_log_odds(s, q, F.when(hidden, empty).otherwise(F.coalesce("d_d", empty)), "d_drop")
+    return both.withColumns(columns).drop("px_a", "px_d", "d_a", "d_d")
+
+
+def stage1_rows(records: DataFrame, owners: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Retrieved pairs with all features of one pair, y and held; and the coded records that they were made from."""
     s1 = records.where("source = 'S1'")
     pairs = staged(features.retrieval_features(retrieve.retrieve(s1, records.where("source <> 'S1'"), settings.top_k)), "pairs")
     fields = features.fields(records)
     coded = staged(features.weighted(fields, features.word_stats(fields.where("source = 'S1'"))), "coded")
     found = features.pair_features(pairs, coded, settings.strings)
-    own = owners.select("q_id", F.col("s_id").alias("own_"))
-    rows = pairs.drop("rank", "score").join(found, KEYS).join(own, "q_id", "left")
-    held = F.coalesce(role(F.col("own_"), settings.report_pct, settings.tune_pct) > 0, F.lit(False))
-    return staged(rows.withColumns({"y": F.coalesce(F.col("own_") == F.col("s_id"), F.lit(False)), "held": held}).drop("own_"), "stage1")
+    rows = staged(labelled(pairs, records, owners, settings), "labelled")
+    rows = difference_features(rows, settings).drop("rank", "score", "q_core", "s_core", "q_nums", "s_nums")
+    return staged(rows.join(found, KEYS), "stage1"), coded
 
 
 def columns_of(rows: DataFrame) -> list[str]:
     return [f.name for f in rows.schema if f.name not in (*KEYS, "y", "held", "p")]
 
 
-def stage2_rows(scored: DataFrame, settings: Settings) -> DataFrame:
-    """The top_m pairs of every query with the context of stage-1 probabilities."""
-    ctx = context.context_features(scored.select(*KEYS, "p")).where(F.col("p1_rank") < settings.top_m)
-    return staged(scored.drop("p").join(ctx, KEYS), "stage2")
+def siblings(pairs: DataFrame, best: DataFrame, coded: DataFrame, tau: float, cap: int, prefix: str) -> DataFrame:
+    """Summaries of the other records that chose a pair's entity."""
+    found = staged(context.sibling_pairs(pairs, best, tau, cap), prefix)
+    both = features.both_sides(found.select("country", "q_id", "mem_id").distinct(), coded, "q_id", "mem_id")
+    kernel = features.kernel_features()
+    similar = both.select("country", "q_id", "mem_id", *[kernel[c].alias(c) for c in ("n_wjacc", "a_wjacc", "num_jacc", "num_near", "unit_shared")])
+    return context.sibling_features(found, similar, prefix)
+
+
+def stage2_rows(scored: DataFrame, coded: DataFrame, settings: Settings) -> DataFrame:
+    """The top_m pairs of every query with the context of stage-1 probabilities, confident siblings and all neighbours."""
+    ctx = staged(context.context_features(scored.select(*KEYS, "p")).where(F.col("p1_rank") < settings.top_m), "context")
+    best = context.best_owner(scored.select(*KEYS, "p"))
+    rows = scored.drop("p").join(ctx, KEYS)
+    for tau, cap, prefix in ((settings.tau, 10, "sib"), (0.0, 15, "nb")):
+        rows = rows.join(siblings(ctx.select(*KEYS), best, coded, tau, cap, prefix), KEYS, "left")
+    return staged(rows.na.fill(0), "stage2")
 
 
 def run_v3(records: DataFrame, owners: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(country, q_id, s_id, p): each record's owner, of raw records and known owners (q_id, s_id)."""
     settings = settings or Settings()
-    norm = staged(normalized(records), "normalized")
-    one = stage1_rows(norm, owners, settings)
-    scored = staged(model.cross_fit(one, columns_of(one), "gbt", settings.rounds, F.col("held")), "p1")
-    two = stage2_rows(scored, settings)
-    parts = staged(model.cross_fit(two, columns_of(two), "gbt", settings.rounds, F.col("held")).withColumnRenamed("p", "pa").transform(lambda d: model.cross_fit(d, columns_of(two), "rf", settings.rounds, F.col("held")).withColumnRenamed("p", "pb")), "p2")
-    weights = model.blend_weights(parts, ["pa", "pb"])
-    best = context.best_owner(parts.withColumn("p", model.blend(["pa", "pb"], weights)).select(*KEYS, "p", "y"))
-    best = staged(best, "best")
-    calibrated = best.withColumn("c", model.interpolated(F.col("p"), model.calibrate(best)))
-    return decide.by_expected_f(calibrated).select(*KEYS, F.round("p", 6).alias("p"))
+    norm = staged(normalized(records, settings.native), "normalized")
+    one, coded = stage1_rows(norm, owners, settings)
+    held = F.col("held")
+    scored = staged(model.cross_fit(one, columns_of(one), "gbt", settings.rounds, held), "p1")
+    two = stage2_rows(scored, coded, settings)
+    names, parts = columns_of(two), two
+    for kind in ("gbt", "rf"):
+        parts = staged(model.cross_fit(parts, names, kind, settings.rounds, held).withColumnRenamed("p", f"p_{kind}"), "p2")
+    entities = norm.where("source = 'S1'").select("country", F.col("entity_id").alias("s_id")).withColumn("role", role(F.col("s_id"), settings.report_pct, settings.tune_pct))
+    tune = parts.join(entities.where("role = 1").select("s_id"), "s_id", "left_semi")
+    tune = parts if tune.isEmpty() else tune
+    weights = model.blend_weights(tune, ["p_gbt", "p_rf"])
+    best = staged(context.best_owner(parts.withColumn("p", model.blend(["p_gbt", "p_rf"], weights)).select(*KEYS, "p", "y")), "best")
+    best = staged(best.withColumn("c", model.interpolated(F.col("p"), model.calibrate(best))), "calibrated")
+    rule, _ = decide.tuned(best, entities.where("role = 1").select("country", "s_id"), owners, settings.rules)
+    return decide.apply_rule(best, rule).select(*KEYS, F.round("p", 6).alias("p"))
 
 
 def run_v1(records: DataFrame, owners: DataFrame, rounds: int = 20, threshold: float = 0.5) -> DataFrame:

@@ -71,7 +71,7 @@ def translit_learn(spark, sf):
 
 @R.query()
 def linkage_v3(spark, sf):
-    return linkage.run_v3(records(spark, sf), gold(spark, sf), linkage.Settings(rounds=5, strings=False))
+    return linkage.run_v3(records(spark, sf), gold(spark, sf), linkage.Settings(rounds=5, strings=False, native=False, least_words=2, tune_pct=40))
 
 
 @R.query()

@@ -107,3 +107,21 @@ def test_files(spark, tmp_path):
     files.write_tsv(lines, str(tmp_path / "out"), ("source1_entity_id", "matched_entity_ids"))
     back = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True)
     assert back.columns == ["source1_entity_id", "matched_entity_ids"] and back.count() == 2
+
+
+def test_long_lists_go_the_other_way(spark):
+    rng = random.Random(8)
+    lists = [sorted((rng.random() for _ in range(n)), reverse=True) for n in (1, 3, 8, 13, 30, 90)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ps array<double>")
+    got = [r.k for r in df.select("i", decide.chosen_k(F.col("ps"), 0.1).alias("k")).orderBy("i").collect()]
+    assert got == [decide.best_k_of_many(decide.np.array(x), 0.1) for x in lists]
+    assert got[:3] == [brute_k(x, 0.1) for x in lists[:3]]
+
+
+def test_tuned_rule(spark):
+    best = spark.createDataFrame([("c", "q0", "s0", 0.9), ("c", "q1", "s0", 0.4), ("c", "q2", "s1", 0.3)], "country string, q_id string, s_id string, p double")
+    e = spark.createDataFrame([("c", "s0"), ("c", "s1")], "country string, s_id string")
+    truth = spark.createDataFrame([("q0", "s0"), ("q1", "s0")], "q_id string, s_id string")
+    rule, f = decide.tuned(best, e, truth)
+    assert rule == {"method": "thr", "thr": 0.32} and f == 1.0
+    assert len(decide.rules()) == 39 + 15
