@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rules that are tried: thresholds first (ties go to the first), then floors and unseen matches of the expected-F rule.
-THRESHOLDS = [round(0.02 + 0.025 * i, 3) for i in range(39)]
-FLOORS, EXTRAS = [0.02, 0.05, 0.1, 0.2, 0.3], [0.0, 0.1, 0.25]
+THRESHOLDS = [round(0.1 + 0.025 * i, 3) for i in range(35)] + [0.96, 0.97, 0.98, 0.99]
+FLOORS, EXTRAS = [0.02, 0.05, 0.1, 0.2, 0.3], [0.0, 0.25, 0.5]
+#: Thresholds of the first generation: 27 even steps, and finer ones near 1.
+V1_THRESHOLDS = sorted({round(0.3 + 0.025 * i, 3) for i in range(27)} | {0.96, 0.97, 0.975, 0.98, 0.985, 0.99, 0.993, 0.995, 0.997, 0.998, 0.999})
 #: Probabilities that an entity may have for its fold to stay in the JVM.
 FOLDED = 12
 

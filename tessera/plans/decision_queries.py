@@ -197,32 +197,42 @@ def macro_f05_groups(spark, sf):
     return M.report(M.entity_scores(entities(spark, sf), gold(spark, sf), threshold_decide(spark, sf)))
 
 
-def sweep(spark, sf):
-    """Macro F0.5 at every threshold of the grid."""
-    grid = F.explode(F.array(*map(F.lit, D.THRESHOLDS))).alias("thr")
+def sweep(spark, sf, pairs, thresholds=D.THRESHOLDS):
+    """Macro F0.5 of pairs at every threshold of a grid."""
+    grid = F.explode(F.array(*map(F.lit, thresholds))).alias("thr")
     e = entities(spark, sf).select("country", "s_id", grid)
     key = lambda: F.concat_ws("@", "thr", "s_id").alias("s_id")
     truth = gold(spark, sf).select("q_id", "s_id", grid).select("q_id", key())
-    pred = best(spark, sf).select("q_id", "s_id", "p", grid).where("p >= thr").select("q_id", key())
+    pred = pairs.select("q_id", "s_id", "p", grid).where("p >= thr").select("q_id", key())
     scores = M.entity_scores(e.select("country", key()), truth, pred)
     return scores.groupBy(F.substring_index("s_id", "@", 1).cast("double").alias("thr")).agg(F.round(F.avg("f05"), 6).alias("f05"))
 
 
-_GRID = ", ".join(f"({t}::DOUBLE)" for t in D.THRESHOLDS)
-_SWEEP = f"""WITH {BEST}, {GOLD_SQL.replace('gold AS', 'gold0 AS')}, ent0 AS (SELECT country, entity_id AS s_id FROM norm WHERE source = 'S1'), grid(thr) AS (VALUES {_GRID}),
-ent AS (SELECT country, thr || '@' || s_id AS s_id FROM ent0, grid), gold AS (SELECT q_id, thr || '@' || s_id AS s_id FROM gold0, grid), pred AS (SELECT q_id, thr || '@' || s_id AS s_id FROM best JOIN grid ON p >= thr), {_SCORES},
+def _sweep_sql(pairs: str, thresholds: list[float]) -> str:
+    grid = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
+    return f"""WITH {BEST}, {GOLD_SQL.replace('gold AS', 'gold0 AS')}, ent0 AS (SELECT country, entity_id AS s_id FROM norm WHERE source = 'S1'), grid(thr) AS (VALUES {grid}),
+ent AS (SELECT country, thr || '@' || s_id AS s_id FROM ent0, grid), gold AS (SELECT q_id, thr || '@' || s_id AS s_id FROM gold0, grid), pred AS (SELECT q_id, thr || '@' || s_id AS s_id FROM {pairs} JOIN grid ON p >= thr), {_SCORES},
 swp AS (SELECT split_part(s_id, '@', 1)::DOUBLE AS thr, round(avg(f05), 6) AS f05 FROM scr GROUP BY 1)"""
 
 
+_SWEEP = _sweep_sql("best", D.THRESHOLDS)
+
+
+@R.query(f"{_sweep_sql('scored', D.V1_THRESHOLDS)} SELECT * FROM swp")
+def v1_threshold_sweep(spark, sf):
+    """The first generation keeps every pair over a threshold, not only a record's best."""
+    return sweep(spark, sf, scored(spark, sf), D.V1_THRESHOLDS)
+
+
 @R.query(f"{_SWEEP} SELECT * FROM swp")
 def threshold_sweep(spark, sf):
-    return sweep(spark, sf)
+    return sweep(spark, sf, best(spark, sf))
 
 
 @R.query(f"{_SWEEP} SELECT thr, f05 FROM swp ORDER BY f05 DESC, thr LIMIT 1")
 def best_rule(spark, sf):
     """The lowest of the best thresholds."""
-    return sweep(spark, sf).agg(F.max(F.struct("f05", (-F.col("thr")).alias("t"))).alias("x")).select((-F.col("x.t")).alias("thr"), F.col("x.f05").alias("f05"))
+    return sweep(spark, sf, best(spark, sf)).agg(F.max(F.struct("f05", (-F.col("thr")).alias("t"))).alias("x")).select((-F.col("x.t")).alias("thr"), F.col("x.f05").alias("f05"))
 
 
 @R.query(f"""WITH {SCORED}, {GOLD_SQL}, ev AS (SELECT coalesce(g.s_id = s.s_id, false) AS y, p, least(p * 1.1, 1) AS b FROM scored s LEFT JOIN gold g ON g.q_id = s.q_id), w AS (SELECT unnest(range(11)) / 10.0::DOUBLE AS w),

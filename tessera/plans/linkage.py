@@ -16,7 +16,7 @@ from tessera.functions import similarity as S
 from tessera.functions.text import words
 from tessera.operators import context, decide, difftab, features, model, retrieve
 from tessera.operators.normalize import normalized
-from tessera.operators.splits import blanked, role
+from tessera.operators.splits import blanked, role, v1_split
 from tessera.sources.stage import staged
 
 KEYS = ["country", "q_id", "s_id"]
@@ -121,8 +121,9 @@ def run_v3(records: DataFrame, owners: DataFrame, settings: Settings | None = No
     return decide.apply_rule(best, rule).select(*KEYS, F.round("p", 6).alias("p"))
 
 
-def run_v1(records: DataFrame, owners: DataFrame, rounds: int = 20, threshold: float = 0.5) -> DataFrame:
-    """(country, q_id, s_id, p) of pairs over one threshold, of the first generation."""
+def run_v1(records: DataFrame, owners: DataFrame, rounds: int = 20, threshold: float | None = None) -> DataFrame:
+    """(country, q_id, s_id, p) of pairs over one threshold, of the first generation. Entities are split 70/15/15: the model is
+    fitted on the first part; without a threshold, the lowest of the best ones on the second is taken."""
     cols = basic.record_columns(F.col("name"), F.col("address"))
     cleaned = staged(records.select("entity_id", "source", "country", *[c.alias(k) for k, c in cols.items()]), "cleaned")
     pairs = staged(retrieve.block(cleaned.where("source = 'S1'"), cleaned.where("source <> 'S1'")), "blocked")
@@ -134,5 +135,9 @@ def run_v1(records: DataFrame, owners: DataFrame, rounds: int = 20, threshold: f
     own = owners.select("q_id", F.col("s_id").alias("own_"))
     rows = both.select("country", F.col("candidate_id").alias("q_id"), F.col("s1_id").alias("s_id"), *[c.alias(k) for k, c in made.items()])
     rows = staged(rows.join(own, "q_id", "left").withColumn("y", F.coalesce(F.col("own_") == F.col("s_id"), F.lit(False))).drop("own_"), "v1-rows")
-    fitted = model.fit(rows, list(made), "gbt", rounds)
-    return model.predict(fitted, rows).where(F.col("p") >= threshold).select(*KEYS, F.round("p", 6).alias("p"))
+    fitted = model.fit(rows.where(v1_split(F.col("s_id")) == "fit"), list(made), "gbt", rounds)
+    scored = staged(model.predict(fitted, rows).select(*KEYS, "p"), "v1-scored")
+    if threshold is None:
+        entities = cleaned.where("source = 'S1'").select("country", F.col("entity_id").alias("s_id")).where(v1_split(F.col("s_id")) == "threshold")
+        threshold = decide.tuned(scored, entities, owners, [{"method": "thr", "thr": t} for t in decide.V1_THRESHOLDS])[0]["thr"]
+    return decide.by_threshold(scored, threshold).select(*KEYS, F.round("p", 6).alias("p"))

@@ -123,5 +123,5 @@ def test_tuned_rule(spark):
     e = spark.createDataFrame([("c", "s0"), ("c", "s1")], "country string, s_id string")
     truth = spark.createDataFrame([("q0", "s0"), ("q1", "s0")], "q_id string, s_id string")
     rule, f = decide.tuned(best, e, truth)
-    assert rule == {"method": "thr", "thr": 0.32} and f == 1.0
-    assert len(decide.rules()) == 39 + 15
+    assert rule == {"method": "thr", "thr": 0.325} and f == 1.0
+    assert len(decide.rules()) == 39 + 15 and len(decide.V1_THRESHOLDS) == 38
