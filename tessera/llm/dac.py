@@ -134,7 +134,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, segment_ids
 
         for batch in batches:
             ids_of = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for begin, texts in text_slices(batch, 1024):
+            for begin, texts in text_slices(batch, 4096):
                 for key, ids in zip(ids_of[begin:], of.ids(texts)):
                     keys.append(key)
                     held.append(ids + end)

@@ -72,7 +72,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDO
     """doc_id, start, length, ids_crc32, doc_tokens (and ids as little-endian unsigned 32-bit) of every piece.
 
     A document is the ids of its whole text (null: empty) and end_id, cut into full windows and a remainder. release:
-    workers let the vocabulary and known pieces go after each partition, for jobs in which other stages follow.
+    workers work on fewer texts at once and let the vocabulary and known pieces go after each partition, for jobs in
+    which other stages follow.
     """
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
@@ -84,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDO
         kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for first, texts in text_slices(batch, 1024):
+            for first, texts in text_slices(batch, 1024 if release else 4096):
                 rows = []
                 for key, ids in zip(keys[first:], of.ids(texts)):
                     ids += end

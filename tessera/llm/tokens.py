@@ -24,7 +24,7 @@ from tessera.llm.common import trim
 #: Pieces kept by a worker (about 200 bytes each); then it starts anew.
 CACHED = 1_000_000
 #: Characters cut into pieces at a time.
-SLICE = 500_000
+SLICE = 6_000_000
 #: Words that one call merges.
 MERGED = 5_000
 #: Marks a piece that no space precedes. Texts that hold it are encoded at once.
@@ -137,25 +137,43 @@ class Encoder:
             self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(part, bounds, bounds[1:]))
 
     def batch(self, texts: list[str], begins: bool = True) -> list[bytes]:
-        """The ids of texts. Without begins, each is a later slice, with the space it was cut at."""
+        """The ids of texts. Without begins, each is a later slice, with the space it was cut at.
+
+        Texts are cut, pieces counted off and ids put together in Arrow; Python sees each distinct piece once.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         known = self.known
         if len(known) > CACHED:
             known.clear()
-        split = []
-        for text in texts:
-            if NO_SPACE in text or not text:
-                split.append(None)
-                continue
-            t = _BREAK.sub(f" {NO_SPACE}\n {NO_SPACE}", text)
-            t = _TAIL.sub(rf" {NO_SPACE}\g<0>", t)
-            split.append((NO_SPACE + t if begins else t[1:]).split(" "))
-        self._learn(list(set().union(*filter(None, split)).difference(known)))
-        out = []
-        for text, parts in zip(texts, split):
-            try:
-                out.append(b"".join(map(known.__getitem__, parts)))
-            except TypeError:  # no parts, or a piece without ids of its own
-                out.append(self.whole([text])[0])
+        out: list[bytes | None] = [b"" if not text else None for text in texts]
+        at = [i for i, text in enumerate(texts) if text and NO_SPACE not in text]
+        marked = []
+        for i in at:
+            t = _TAIL.sub(rf" {NO_SPACE}\g<0>", _BREAK.sub(f" {NO_SPACE}\n {NO_SPACE}", texts[i]))
+            marked.append(NO_SPACE + t if begins else t[1:])
+        if at:
+            lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+            starts = lists.offsets.to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            pieces, places = coded.dictionary.to_pylist(), coded.indices
+            self._learn([p for p in pieces if p not in known])
+            values = [known[p] for p in pieces]
+            which = places.to_numpy()
+            whole = np.zeros(len(at), bool)
+            if None in values:
+                whole = np.logical_or.reduceat(np.array([v is None for v in values])[which], starts[:-1])
+                values = [v or b"" for v in values]
+            ends = np.concatenate([[0], np.cumsum(np.array(list(map(len, values)))[which])])[starts].tolist()
+            data = pa.array(values, pa.large_binary()).take(places).buffers()[2]
+            data = data.to_pybytes() if data is not None else b""
+            for i, alone, x, y in zip(at, whole.tolist(), ends, ends[1:]):
+                if not alone:
+                    out[i] = data[x:y]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
+            out[i] = ids
         return out
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -167,7 +185,7 @@ class Encoder:
             if len(text) > SLICE and not any(s in text for s in self.special):
                 yield from self.batch(held)
                 held, n = [], 0
-                yield b"".join(self.batch([s], i == 0)[0] for i, s in enumerate(slices(text)))
+                yield b"".join(self.batch([s], i == 0)[0] for i, s in enumerate(slices(text, SLICE)))
                 continue
             held.append(text)
             n += len(text)

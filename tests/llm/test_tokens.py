@@ -6,9 +6,9 @@ from cases import documents, empty, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import dac, packing
+from tessera.llm import dac, packing, tokens
 from tessera.llm.queries import BYTE_BPE, WORD_BPE
-from tessera.llm.tokens import SLICE, Encoder, forget, slices
+from tessera.llm.tokens import Encoder, forget, slices
 
 PIECES = ["a", "the", "Bridge", "naïve", " ", "  ", "\n", "\t", ",", "...", "!!", "'s", "don't", "~", "12", " ", "\x1c", "\x01", "é", "é", "Σ", "ΑΣ", "İ", "ß", "<|endoftext|>", "<|startoftext|>", "漢字", "🙂"]
 ENCODERS = {}
@@ -29,11 +29,14 @@ def test_cached_pieces_give_the_library_ids(path, texts):
 
 
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
-def test_long_texts_are_cut_safely(path):
+def test_long_texts_are_cut_safely(path, monkeypatch):
     text = " ".join(t for _, t, *_ in rows() if t and "<|" not in t) + "  \n"
-    text = (text + " ") * (2 * SLICE // len(text) + 1)
+    text = (text + " ") * 20
     assert "".join(slices(text, 1000)) == text
-    assert np.frombuffer(next(iter(Encoder(path).ids([text]))), "<u4").tolist() == plain(path, [text])[0]
+    want = plain(path, [text, "", "short"])
+    for size in (1000, 10**7):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).ids([text, None, "short"])] == want
     forget(path)
 
 
