@@ -116,17 +116,6 @@ def set_equality(a: Column, b: Column, name: str) -> dict[str, Column]:
     return {f"{name}_eq": flag(some & (F.array_sort(a) == F.array_sort(b))), f"{name}_conflict": flag(some & (F.size(F.array_intersect(a, b)) == 0))}
 
 
-def word_log_odds(a: Column, b: Column, table: Column, name: str) -> dict[str, Column]:
-    """min, max, sum, number and unknown of the log-odds of a's words that b lacks, from a map of words."""
-    only = F.array_except(a, b)
-    known = F.filter(F.transform(only, lambda w: F.try_element_at(table, w)), lambda v: v.isNotNull())
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return {
-        f"{name}_min": zero(F.array_min(known)), f"{name}_max": zero(F.array_max(known)), f"{name}_sum": total(known),
-        f"{name}_n": F.size(known), f"{name}_unk": F.size(only) - F.size(known),
-    }
-
-
 def v1_features(name1: Column, addr1: Column, nums1: Column, name2: Column, addr2: Column, nums2: Column) -> dict[str, Column]:
     """The eight v1 features that need no edit distance; token-sort ratios are in fuzzy."""
     least = lambda t, n: F.array_distinct(F.filter(words(t), lambda w: F.length(w) >= n))

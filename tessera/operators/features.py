@@ -27,7 +27,7 @@ def word_stats(s1: DataFrame) -> DataFrame:
     df = both.groupBy("country", F.col("x.word").alias("word")).agg(F.count_if(F.col("x.k") == 0).alias("df_name"), F.count_if(F.col("x.k") == 1).alias("df_addr"))
     sizes = s1.groupBy("country").agg(F.count("*").alias("n_"))
     weight = lambda c: F.log((F.col("n_") + 1) / (F.col(c) + 1)) / F.log(F.col("n_") + 1)
-    return df.join(F.broadcast(sizes), "country").select("country", "word", "df_name", "df_addr", weight("df_name").alias("w_name"), weight("df_addr").alias("w_addr"))
+    return df.join(sizes, "country").select("country", "word", "df_name", "df_addr", weight("df_name").alias("w_name"), weight("df_addr").alias("w_addr"))
 
 
 def _tagged(column: str, k: int):

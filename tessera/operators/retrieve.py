@@ -63,7 +63,7 @@ def key_weights(index_keys: DataFrame, specs: dict[str, tuple], scale: float = 1
     factor = F.create_map(*[F.lit(x) for kind, (_, w) in specs.items() for x in (kind, float(w))])
     idf = F.try_element_at(factor, F.col("kind")) * F.log((F.col("n_") + 1) / F.col("df"))
     cap = F.when(F.col("kind") == "exact", F.lit(2**62)).otherwise(cap_of(specs, F.col("kind"), F.col("n_"), scale))
-    return df.join(F.broadcast(sizes), "country").where(F.col("df") <= cap).select("country", "kind", "key", "df", F.when(F.col("kind") == "exact", F.lit(T.EXACT_WEIGHT)).otherwise(idf).alias("w"))
+    return df.join(sizes, "country").where(F.col("df") <= cap).select("country", "kind", "key", "df", F.when(F.col("kind") == "exact", F.lit(T.EXACT_WEIGHT)).otherwise(idf).alias("w"))
 
 
 def scored_pairs(query_keys: DataFrame, index_keys: DataFrame, weights: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy
 from tessera.functions import similarity as S
-from tessera.functions.text import words
 from tessera.operators import difftab
 from tessera.operators import features as O
 from tessera.plans import sqlfeat as Q
@@ -144,8 +143,8 @@ cw AS (SELECT l.country, q_id, s_id, {_CORES}, ks, los FROM lab l JOIN maps m ON
 SELECT country, q_id, s_id, {_lo('qc', 'sc', 'add', 'px_add')}, {_lo('sc', 'qc', 'drop', 'px_drop')} FROM cw""")
 def diff_features(spark, sf):
     """Log-odds summaries of added and dropped words, from the label-free table of each country."""
-    maps = difftab.as_maps(difftab.proxy(labelled(spark, sf, 3), LEAST))
-    p = labelled(spark, sf, 3).join(F.broadcast(maps), "country")
-    q, s = F.array_distinct(words(F.col("q_core"))), F.array_distinct(words(F.col("s_core")))
-    columns = S.word_log_odds(q, s, F.col("add"), "px_add") | S.word_log_odds(s, q, F.col("drop"), "px_drop")
-    return p.select("country", "q_id", "s_id", *[(F.round(c, 6) if k.endswith("_sum") else c).alias(k) for k, c in columns.items()])
+    pairs = labelled(spark, sf, 3)
+    table = difftab.proxy(pairs, LEAST)
+    known = table.select("country").distinct()
+    keys = pairs.join(known, "country").select("country", "q_id", "s_id")
+    return keys.join(difftab.summaries(pairs, table, "px"), ["country", "q_id", "s_id"], "left").na.fill(0)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import basic, fuzzy
 from tessera.functions import similarity as S
-from tessera.functions.text import words
 from tessera.operators import context, decide, difftab, features, model, retrieve
 from tessera.operators.normalize import normalized
 from tessera.operators.splits import blanked, role, v1_split
@@ -51,18 +50,12 @@ def labelled(pairs: DataFrame, records: DataFrame, owners: DataFrame, settings:
 def difference_features(rows: DataFrame, settings: Settings) -> DataFrame:
     """rows with the log-odds summaries of added and dropped words: d_ from labels (hidden for a fifth of the records, and
     learned without held-out ones), px_ from kept numbers, by country."""
-    least = settings.least_words
-    supervised = difftab.supervised(rows.where((F.col("rank") < 5) & ~F.col("held")).withColumn("country", F.lit("all")), least)
-    near = difftab.proxy(rows.where(F.col("rank") < 3), least)
-    maps = difftab.as_maps(near).select("country", F.col("add").alias("px_a"), F.col("drop").alias("px_d"))
-    one = difftab.as_maps(supervised).select(F.col("add").alias("d_a"), F.col("drop").alias("d_d"))
-    # A row a country, and one row: words over the least count only.
-    both = rows.join(F.broadcast(maps), "country", "left").join(F.broadcast(one), F.lit(True), "left")
-    q, s = (F.array_distinct(words(F.col(f"{x}_core"))) for x in "qs")
-    hidden, empty = blanked(F.col("q_id")), F.create_map().cast("map<string,double>")
-    columns = S.word_log_odds(q, s, F.coalesce("px_a", empty), "px_add") | S.word_log_odds(s, q, F.coalesce("px_d", empty), "px_drop")
-    columns |= S.word_log_odds(q, s, F.when(hidden, empty).otherwise(F.coalesce("d_a", empty)), "d_add") | S.word_log_odds(s, q, F.when(hidden, empty).otherwise(F.coalesce("d_d", empty)), "d_drop")
-    return both.withColumns(columns).drop("px_a", "px_d", "d_a", "d_d")
+    near = difftab.proxy(rows.where(F.col("rank") < 3), settings.least_words)
+    one = rows.withColumn("country", F.lit("all"))
+    supervised = difftab.supervised(one.where((F.col("rank") < 5) & ~F.col("held")), settings.least_words)
+    px = difftab.summaries(rows, near, "px")
+    d = difftab.summaries(one, supervised, "d", blanked(F.col("q_id"))).drop("country")
+    return rows.join(px, KEYS, "left").join(d, KEYS[1:], "left").na.fill(0)
 
 
 def stage1_rows(records: DataFrame, owners: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
