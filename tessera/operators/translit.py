@@ -53,7 +53,7 @@ def learn(queries: DataFrame, s1: DataFrame, owners: DataFrame) -> dict[str, Dat
     indic = queries.where(X.has_indic(F.col("name")) | X.has_indic(F.col("address"))).select(F.col("entity_id").alias("q_id"), "name", "address")
     own = s1.select(F.col("entity_id").alias("s_id"), F.col("name").alias("s_name"), F.col("address").alias("s_address"))
     pairs = indic.join(owners, "q_id").join(own, "s_id")
-    names = pairs.where(X.has_indic(F.col("name"))).select("q_id", F.col("name").alias("native"), X.name_tokens(F.col("s_name"))["tokens"].alias("latin_tokens"))
+    names = pairs.where(X.has_indic(F.col("name"))).select("q_id", F.col("name").alias("native"), X.canonical(X.name_words(X.blank_if_null(F.col("s_name")))).alias("latin_tokens"))
     addresses = pairs.where(X.has_indic(F.col("address"))).select("q_id", F.col("address").alias("native"), X.raw_tokens(F.col("s_address")).alias("latin_tokens"))
     found = {"name": aligned(names, "name"), "addr": aligned(addresses, "addr")}
     out = {kind: majority(f, F.col("token")) for kind, f in found.items()}
