@@ -17,15 +17,17 @@ from tessera.sources.stage import staged
 PLACES = 6
 
 
+def _long(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    return records.select("country", F.col("entity_id").alias("id"), F.explode(K.long_form(keys)).alias("k")).select("country", "id", "k.kind", "k.key")
+
+
 def v3_record_keys(records: DataFrame) -> DataFrame:
     """(country, id, kind, key) of normalized records, and the exact name as kind `exact`."""
-    k = K.v3_keys(*[F.col(c) for c in ("core", "phon", "ad", "nums", "units")])
-    return records.select("country", F.col("entity_id").alias("id"), F.explode(K.long_form(k)).alias("k")).select("country", "id", "k.kind", "k.key")
+    return _long(K.with_v3_lists(records), K.v3_keys())
 
 
 def v1_record_keys(records: DataFrame) -> DataFrame:
-    k = K.v1_keys(*[F.col(c) for c in ("name_core", "addr_normalized", "addr_numbers")])
-    return records.select("country", F.col("entity_id").alias("id"), F.explode(K.long_form(k)).alias("k")).select("country", "id", "k.kind", "k.key")
+    return _long(K.with_v1_lists(records), K.v1_keys())
 
 
 def exact_groups(index_keys: DataFrame) -> DataFrame:
