@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import words
+from tessera.functions.text import let, words
 
 #: Distinct words kept of each field: names, addresses, skeletons, numbers, units.
 WIDTHS = {"name": 8, "addr": 16, "phon": 8, "num": 8, "unit": 4}
@@ -46,10 +46,15 @@ def all_words(entries: Column) -> Column:
     return F.transform(entries, lambda e: e["word"])
 
 
+def weight_sums(q: Column, s: Column, prefix: str) -> dict[str, Column]:
+    """Sums that weighted_features() needs, to be worked out in a projection before: of shared words and of either side's."""
+    return {f"{prefix}_sh_": total(in_words(q, all_words(s))), f"{prefix}_tq_": total(F.transform(q, lambda e: e["w"])), f"{prefix}_ts_": total(F.transform(s, lambda e: e["w"]))}
+
+
 def weighted_features(q: Column, s: Column, prefix: str) -> dict[str, Column]:
-    """Weighted Jaccard and coverages of two arrays of (word, w, df)."""
+    """Weighted Jaccard and coverages of two arrays of (word, w, df), with weight_sums() beside them."""
     qw, sw = all_words(q), all_words(s)
-    shared, tq, ts = total(in_words(q, sw)), total(F.transform(q, lambda e: e["w"])), total(F.transform(s, lambda e: e["w"]))
+    shared, tq, ts = (F.col(f"{prefix}_{c}_") for c in ("sh", "tq", "ts"))
     return {
         f"{prefix}_wjacc": share(shared, tq + ts - shared), f"{prefix}_wcov_min": share(shared, F.least(tq, ts)),
         f"{prefix}_wcov_q": share(shared, tq), f"{prefix}_wcov_s": share(shared, ts), f"{prefix}_shared": F.size(F.array_intersect(qw, sw)),
@@ -63,11 +68,17 @@ def near(x: Column, y: Column) -> Column:
     return F.levenshtein(x, y) <= 1
 
 
+def near_misses(q: Column, s: Column) -> Column:
+    """How many of the query's unmatched numbers of two digits or more are near one of the other side."""
+    long = lambda a: F.filter(a, lambda n: F.length(n) >= 2)
+    return let(long(s), lambda t: F.size(F.filter(F.array_except(long(q), s), lambda x: F.exists(t, lambda y: near(x, y)))))
+
+
 def number_features(q: Column, s: Column) -> dict[str, Column]:
-    """Number overlap, near misses (two digits or more) and conflict."""
+    """Number overlap, near misses (column near_) and conflict."""
     both = F.array_intersect(q, s)
     long = lambda a: F.filter(a, lambda n: F.length(n) >= 2)
-    close = F.size(F.filter(F.array_except(long(q), s), lambda x: F.exists(long(s), lambda y: near(x, y))))
+    close = F.col("near_")
     return {
         "num_jacc": jaccard(q, s), "num_shared": F.size(both), "num_maxlen_shared": F.coalesce(F.array_max(F.transform(both, lambda n: F.length(n))), F.lit(0)),
         "num_near": close, "num_conflict": flag((F.size(long(q)) > 0) & (F.size(long(s)) > 0) & (F.size(both) == 0) & (close == 0)),

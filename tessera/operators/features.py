@@ -47,11 +47,15 @@ def weighted(records: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def both_sides(pairs: DataFrame, records: DataFrame, q: str = "q_id", s: str = "s_id") -> DataFrame:
-    """pairs with the records of both ids as structs q and s."""
+    """pairs with the records of both ids as structs q and s, and the sums that several features share. What nobody asks
+    for of these is pruned."""
     side = records.select("country", F.struct(*[c for c in records.columns if c != "country"]).alias("r_"))
     left = side.select("country", F.col("r_.entity_id").alias(q), F.col("r_").alias("q"))
     right = side.select("country", F.col("r_.entity_id").alias(s), F.col("r_").alias("s"))
-    return pairs.join(left, ["country", q]).join(right, ["country", s])
+    both = pairs.join(left, ["country", q]).join(right, ["country", s])
+    a, b = F.col("q"), F.col("s")
+    sums = S.weight_sums(a["names_w"], b["names_w"], "n") | S.weight_sums(a["addrs_w"], b["addrs_w"], "a")
+    return both.withColumns(sums | {"near_": S.near_misses(a["numbers"], b["numbers"])})
 
 
 def kernel_features() -> dict[str, Column]:
