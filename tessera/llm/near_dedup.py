@@ -150,8 +150,13 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id_, root_) of every node of an edge: the smallest node of its component, by alternating stars.
 
-    Each round is written to the shared folder; only a count and a checksum reach the driver.
+    Each step is written to the shared folder, also the least neighbours: a join of two tables can be split where one node
+    has very many edges. Only a count and a checksum reach the driver.
     """
+
+    def least(rows: DataFrame) -> DataFrame:
+        return written(rows.groupBy("u").agg(F.min("v").alias("m")), "least")
+
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
@@ -160,10 +165,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
+        large = written(large.distinct(), "edges")
+        small = large.join(least(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         e = written(small.where("u <> v").distinct(), "edges")
     return e.groupBy(F.col("u").alias("id_")).agg(F.min("v").alias("root_")).unionByName(e.select(F.col("v").alias("id_"), F.col("v").alias("root_")).distinct())
 
