@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_slices, trim
@@ -132,7 +132,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out("doc_id"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n_")).orderBy(F.desc("n_"), "lang").limit(max(1, rows // 10))
-    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*").over(_all()) / F.col("n_"))
+    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*").over(Window.partitionBy()) / F.col("n_"))
     shares = counts.withColumn("share_", share).select("lang", "share_")  # rows / 10 rows at most
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     taken = known.join(F.broadcast(shares), "lang").where(unit < F.col("share_")).select("doc_id", "text", "lang")
@@ -147,12 +147,6 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit([(np.array(r["grams"], np.int64), r["lang"]) for r in found])
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def language_id(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every whole text.
 
