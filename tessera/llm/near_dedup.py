@@ -7,8 +7,9 @@
    region together. Pairs whose other minima hardly agree are left out.
 3. Candidates are joined to tentative groups. Each class of a group is sent, once, to the task of its group, which finds the
    exact components there: every pair that could matter is compared on full sets.
-4. A group over GROUP classes is cut into regions of the forest instead, each as deep as it takes to be small enough; the
-   links found in regions of all orders are joined again.
+4. A group over GROUP classes is cut into regions of the forest instead, each as deep as it takes to be small enough, which
+   finds most links. An exact join on the rarest shingles of each set then compares every pair of such a group that
+   could be linked and isn't connected yet; what it adds is joined again.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ NEAR = 3
 SKETCHED, AGREE = 3, 0.5
 #: Classes of a group that one task compares, and of a region of larger groups.
 GROUP, REGION = 1000, 400
+#: Rows of a shingle that one task of the exact join pairs with as many others; buckets that count shingles.
+HOT, BUCKETS = 2000, 1 << 18
 NO_ID = -(2**63)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -252,6 +255,89 @@ def regions(classes: DataFrame, most: int) -> DataFrame:
     return _forest(classes).mapInPandas(run, "id_ long, group_ long")
 
 
+def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """members (id_, group_, root_) with their sets: sorted 64-bit hashes as bytes."""
+
+    def run(batches: Iterable) -> Iterator:
+        for pdf in batches:
+            sets = [shingles(t, words).tobytes() for t in pdf["text"]]
+            yield pdf[["id_", "group_", "root_"]].assign(set_=sets)
+        trim()
+
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id_"), "text").join(members, "id_")
+    return texts.select("id_", "group_", "root_", "text").mapInPandas(run, "id_ long, group_ long, root_ long, set_ binary")
+
+
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each of BUCKETS buckets occur: a bounded stand-in for the frequency of each."""
+    shift = np.uint64(64 - (BUCKETS - 1).bit_length())
+
+    def run(batches: Iterable) -> Iterator:
+        import pandas as pd
+
+        counts = np.zeros(BUCKETS, np.int64)
+        for pdf in batches:
+            for x in pdf["set_"]:
+                np.add.at(counts, (np.frombuffer(x, np.uint64) >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket_": at, "n_": counts[at]})
+
+    found = sets.select("set_").mapInPandas(run, "bucket_ long, n_ long").groupBy("bucket_").agg(F.sum("n_").alias("n_")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found["bucket_"].to_numpy()] = found["n_"].to_numpy()
+    return counts
+
+
+def missing_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all links between sets of one group_ whose root_ differs, by a prefix-filter join.
+
+    Shingles have one order for all sets, rare ones first. Linked sets of n shingles or more share one of the first
+    n - ceil(percent * n / 100) + 1 of each, and behind the first shared one enough are left on both sides. A shingle
+    of very many sets is paired in blocks of about HOT rows. Candidates are confirmed on full sets.
+    """
+    counts, shift = _bucket_counts(sets), np.uint64(64 - (BUCKETS - 1).bit_length())
+
+    def firsts(batches: Iterable) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            parts = []
+            for i, x in enumerate(pdf["set_"]):
+                s = np.frombuffer(x, np.uint64)
+                n = len(s)
+                first = s[np.lexsort((s, counts[(s >> shift).astype(np.int64)]))][: n + percent * n // -100 + 1]
+                parts.append((np.full(len(first), i), first.view(np.int64), np.full(len(first), n), n - np.arange(len(first))))
+            if parts:
+                at, key, n, rest = (np.concatenate(c) for c in zip(*parts))
+                row = pdf.iloc[at]
+                yield pd.DataFrame({"group_": row["group_"].to_numpy(), "key_": key, "id_": row["id_"].to_numpy(), "root_": row["root_"].to_numpy(), "n_": n, "rest_": rest})
+
+    rows = written(sets.mapInPandas(firsts, "group_ long, key_ long, id_ long, root_ long, n_ long, rest_ long"), "prefixes")
+    some = rows.groupBy("group_", "key_").agg(F.count("*").alias("c_"), F.min("root_").alias("x_"), F.max("root_").alias("y_")).where("x_ <> y_")
+    blocks = some.select("group_", "key_", F.ceil(F.col("c_") / HOT).alias("blocks_"))
+    rows = rows.join(blocks, ["group_", "key_"]).withColumn("own_", F.pmod(F.xxhash64("id_"), "blocks_"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1))
+    keys = ["group_", "key_", "i_", "j_"]
+    x = rows.select("group_", "key_", F.col("own_").alias("i_"), other.alias("j_"), F.col("id_").alias("a"), F.col("root_").alias("ra_"), F.col("n_").alias("na_"), F.col("rest_").alias("la_"))
+    y = rows.select("group_", "key_", other.alias("i_"), F.col("own_").alias("j_"), F.col("id_").alias("b"), F.col("root_").alias("rb_"), F.col("n_").alias("nb_"), F.col("rest_").alias("lb_"))
+    left = F.least("la_", "lb_")  # shingles that both can still share, this one included
+    could = (F.col("a") < F.col("b")) & (F.col("ra_") != F.col("rb_")) & (100 * left >= percent * (F.col("na_") + F.col("nb_") - left))
+    pairs = written(x.join(y, keys).where(could).select("a", "b").distinct(), "pairs")
+
+    def confirm(batches: Iterable) -> Iterator:
+        for pdf in batches:
+            good = []
+            for x, y in zip(pdf["x_"], pdf["y_"]):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield pdf.loc[np.array(good, bool), ["a", "b"]]
+
+    side = lambda i, x: sets.select(F.col("id_").alias(i), F.col("set_").alias(x))
+    with_both = pairs.join(side("a", "x_"), "a").join(side("b", "y_"), "b").select("a", "b", "x_", "y_")
+    return with_both.mapInPandas(confirm, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, group: int = GROUP, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -268,9 +354,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, group: i
     sized = written(grouped.join(sizes, "root_").select("id_", F.col("root_").alias("group_"), "n_"), "sized")
     roots = _by_sets(docs, sized.where(F.col("n_") <= group).select("id_", "group_"), words, percent)
     if not sized.where(F.col("n_") > group).isEmpty():
-        large = classes.join(sized.where(F.col("n_") > group).select("id_"), "id_")
+        members = sized.where(F.col("n_") > group).select("id_", "group_")
+        large = classes.join(members.select("id_"), "id_")
         links = _by_sets(docs, regions(large, region), words, percent)
-        roots = roots.unionByName(components(links.select(F.col("id_").alias("a"), F.col("root_").alias("b"))))
+        found = written(components(links.select(F.col("id_").alias("a"), F.col("root_").alias("b"))), "found")
+        sets = written(_sets(docs, members.join(found, "id_", "left").select("id_", "group_", F.coalesce("root_", "id_").alias("root_")), words), "sets")
+        both = found.select(F.col("id_").alias("a"), F.col("root_").alias("b")).unionByName(missing_links(sets, percent))
+        roots = roots.unionByName(components(both))
     roots = written(roots, "roots").groupBy("id_").agg(F.min("root_").alias("root_"))
     named = classes.select("a_", "b_", "id_").join(roots, "id_", "left").select("a_", "b_", F.coalesce("root_", "id_").alias("root_"))
     component = F.when(F.col("n_shingles") > 0, F.col("root_")).otherwise(F.col("id_"))

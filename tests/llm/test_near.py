@@ -73,3 +73,27 @@ def test_families_by_groups_and_by_regions(spark, limits):
 def test_exact_components():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4], [9], [1, 2, 3], [9])]
     assert near_dedup.exact_components(np.array([7, 3, 5, 1, 2]), sets, 75).tolist() == [1, 1, 2, 1, 2]
+
+
+def template(seed, n, pairs, size=120):
+    """Variants of one text, most too different to be linked, and near copies of some of them far away in the order of ids."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(size)]
+
+    def changed(text, places):
+        copy = list(text)
+        for i in rng.sample(range(0, size, 2), places):
+            copy[i] = f"x{rng.randrange(10**6)}"
+        return copy
+
+    out = [changed(words, 4) for _ in range(n)]
+    return [" ".join(c) for c in out + [changed(out[i], 6) for i in range(pairs)]]
+
+
+@pytest.mark.parametrize("hot", [2000, 16])
+def test_large_groups_lose_no_link(spark, monkeypatch, hot):
+    """Near copies among variants whose minima are often those of the template, in every order."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    docs = list(enumerate(template(3, 600, 60)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(near_dedup.near_duplicates(df, 2, group=10, region=4)) == brute(docs, 2)
