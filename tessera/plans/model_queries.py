@@ -71,12 +71,12 @@ def translit_learn(spark, sf):
 
 @R.query()
 def linkage_v3(spark, sf):
-    return linkage.run_v3(records(spark, sf), gold(spark, sf), linkage.Settings(rounds=5, strings=False, native=False, least_words=2, tune_pct=40))
+    return linkage.run_v3(records(spark, sf), gold(spark, sf), linkage.Settings(least_words=2, tune_pct=40))
 
 
 @R.query()
 def linkage_v1(spark, sf):
-    return linkage.run_v1(records(spark, sf), gold(spark, sf), rounds=5)
+    return linkage.run_v1(records(spark, sf), gold(spark, sf))
 
 
 @R.query(f"WITH {BEST}, {GOLD_SQL}, v AS (SELECT b.q_id, b.p, g.s_id IS NOT NULL AND g.s_id = b.s_id AS y FROM best b LEFT JOIN gold g ON g.q_id = b.q_id) SELECT y, count(*) AS n, round(min(p), 6) AS low, round(max(p), 6) AS high FROM v GROUP BY y")
