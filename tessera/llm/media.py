@@ -105,10 +105,20 @@ def difference_hash(samples: np.ndarray, size: int = HASH) -> str:
     return np.packbits(cells[:, :-1] < cells[:, 1:]).tobytes().hex()
 
 
-def npy_tile(samples: np.ndarray, size: int = 16) -> bytes:
-    """A size x size tile of 8-bit means in the NPY format."""
+def top_sample(data: bytes) -> int:
+    """The value of white in the decoded samples of an image: a Netpbm header's maximum, otherwise 255."""
+    m = _HEADER.match(data)
+    if not m or m[1] in (b"P1", b"P4"):
+        return 255
+    return max(1, int(re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)").match(data, m.end())[1]))
+
+
+def npy_tile(samples: np.ndarray, size: int = 16, top: int = 255) -> bytes:
+    """A size x size tile of 8-bit means in the NPY format, of samples from 0 to top."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(samples, size, size)), 0, 255).astype(np.uint8), allow_pickle=False)
+    cells = area_resize(samples, size, size)
+    cells = cells if top == 255 else cells * (255 / top)
+    np.save(out, np.clip(np.rint(cells), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -121,7 +131,7 @@ def tiles(images: DataFrame, column: str = "image", size: int = 16) -> DataFrame
             for data in pdf[column]:
                 try:
                     samples = decode(bytes(data))
-                    found.append((npy_tile(samples, size), difference_hash(samples)))
+                    found.append((npy_tile(samples, size, top_sample(bytes(data))), difference_hash(samples)))
                 except (ValueError, TypeError, AttributeError, struct.error):
                     found.append((None, None))
             yield pdf.assign(tile=[t for t, _ in found], dhash=[d for _, d in found])

@@ -57,3 +57,11 @@ def test_tiles(spark):
     out = {r.id: r for r in media.tiles(df).collect()}
     assert out[1].dhash == "ff" * 8 and out[1].tile is not None
     assert out[2].tile is None and out[3].dhash is None
+
+
+def test_tiles_scale_by_the_maximum(spark):
+    want = np.array([[0, 85], [170, 255]])
+    images = [b"P5\n2 2\n%d\n" % top + (want * top // 255).astype(kind).tobytes() for top, kind in ((65535, ">u2"), (15, "u1"), (255, "u1"))]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(images)], "id int, image binary")
+    for r in media.tiles(df, size=2).collect():
+        assert (np.load(io.BytesIO(r.tile)) == want).all()
