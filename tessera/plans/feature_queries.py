@@ -30,6 +30,11 @@ def nearest(spark, sf):
     return candidates(spark, sf).where(F.col("rank") < NEAREST)
 
 
+def all_features(spark, sf):
+    """Pair features of all retrieved candidates, for queries that no SQL holds to the nearest."""
+    return stage(spark, sf, "all_features", lambda: O.pair_features(candidates(spark, sf), encoded(spark, sf), strings=False))
+
+
 def features(spark, sf):
     return stage(spark, sf, "features", lambda: O.pair_features(nearest(spark, sf), encoded(spark, sf), strings=False))
 
@@ -69,7 +74,7 @@ def jaro_winkler(spark, sf):
 @R.query()
 def string_similarities(spark, sf):
     """No oracle: indel, token-set and partial ratios have no SQL function; tests compare them with plain tables."""
-    both = O.both_sides(nearest(spark, sf).select("country", "q_id", "s_id"), encoded(spark, sf))
+    both = O.both_sides(candidates(spark, sf).select("country", "q_id", "s_id"), encoded(spark, sf))
     return both.select("country", "q_id", "s_id", *[c.alias(k) for k, c in O.string_features().items()])
 
 

@@ -9,15 +9,15 @@ from tessera.plans import linkage
 from tessera.plans import sqltext as S
 from tessera.plans.base import Registry
 from tessera.plans.decision_queries import BEST, best
-from tessera.plans.feature_queries import features, labelled
+from tessera.plans.feature_queries import all_features, labelled
 from tessera.plans.fixtures import GOLD_SQL, RECORDS_SQL, gold, records
 
 R = Registry()
 
 
 def training_rows(spark, sf):
-    y = labelled(spark, sf, 5).select("country", "q_id", "s_id", "y")
-    return features(spark, sf).join(y, ["country", "q_id", "s_id"])
+    y = labelled(spark, sf, linkage.Settings.top_k).select("country", "q_id", "s_id", "y")
+    return all_features(spark, sf).join(y, ["country", "q_id", "s_id"])
 
 
 @R.query()

@@ -2,7 +2,7 @@
 
 import inspect
 
-from tessera.plans import linkage, model_queries
+from tessera.plans import feature_queries, linkage, model_queries, retrieval_queries
 
 
 def test_linkage_runs_with_all_features_and_rounds(monkeypatch):
@@ -17,3 +17,10 @@ def test_linkage_runs_with_all_features_and_rounds(monkeypatch):
     plain = linkage.Settings()
     assert (seen["v3"].strings, seen["v3"].native, seen["v3"].rounds) == (plain.strings, plain.native, plain.rounds) == (True, True, 20)
     assert seen["v1"] == rounds == 20
+
+
+def test_queries_without_sql_take_all_candidates(spark):
+    sf = "/root/testdata/sf0.001"
+    n = retrieval_queries.candidates(spark, sf).count()
+    assert feature_queries.string_similarities(spark, sf).count() == n
+    assert model_queries.training_rows(spark, sf).count() == n
