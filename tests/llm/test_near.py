@@ -97,3 +97,9 @@ def test_large_groups_lose_no_link(spark, monkeypatch, hot):
     docs = list(enumerate(template(3, 600, 60)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(near_dedup.near_duplicates(df, 2, group=10, region=4)) == brute(docs, 2)
+
+
+def test_the_size_of_a_group_changes_no_result(spark):
+    df = spark.createDataFrame(list(enumerate(template(3, 600, 60))), "doc_id long, text string")
+    whole, cut = (got(near_dedup.near_duplicates(df, 2, group=g, region=4)) for g in (1000, 10))
+    assert whole == cut
