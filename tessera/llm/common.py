@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -51,6 +52,8 @@ def trim() -> None:
     import gc
 
     gc.collect()
+    if "pyarrow" in sys.modules:
+        sys.modules["pyarrow"].default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -21,10 +21,11 @@ import numpy as np
 
 from tessera.llm.common import trim
 
-#: Pieces kept by a worker (about 200 bytes each); then it starts anew.
-CACHED = 1_000_000
+#: Bytes that a worker keeps pieces and their ids in, before it keeps those of its last texts that came again only;
+#: what a piece takes beside its characters and ids.
+CACHE_BYTES, PIECE_BYTES = 32 << 20, 200
 #: Characters cut into pieces at a time.
-SLICE = 6_000_000
+SLICE = 2_000_000
 #: Words that one call merges.
 MERGED = 5_000
 #: Marks a piece that no space precedes. Texts that hold it are encoded at once.
@@ -82,6 +83,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = {}
+        self.held = 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
@@ -118,6 +120,17 @@ class Encoder:
         known.update(zip(spaced, self.whole([" " + p for p in spaced])))
         known.update(zip(bare, self.whole([p[1:] for p in bare])))
 
+    def _keep(self, new: list[str], pieces: list[str], which: np.ndarray) -> None:
+        """Holds `known` to CACHE_BYTES: beyond, only pieces that came twice or more in the texts at hand stay."""
+        known = self.known
+        self.held += sum(len(p) + len(known[p] or b"") + PIECE_BYTES for p in new)
+        if self.held > CACHE_BYTES:
+            again = [pieces[i] for i in np.flatnonzero(np.bincount(which, minlength=len(pieces)) > 1)]
+            self.known = {p: known[p] for p in again}
+            self.held = sum(len(p) + len(x or b"") + PIECE_BYTES for p, x in self.known.items())
+            if self.held > CACHE_BYTES // 2:
+                self.known, self.held = {}, 0
+
     def _merge(self, words: list[str]) -> None:
         for i in range(0, len(words), MERGED):
             part = words[i : i + MERGED]
@@ -145,8 +158,6 @@ class Encoder:
         import pyarrow.compute as pc
 
         known = self.known
-        if len(known) > CACHED:
-            known.clear()
         out: list[bytes | None] = [b"" if not text else None for text in texts]
         at = [i for i, text in enumerate(texts) if text and NO_SPACE not in text]
         marked = []
@@ -158,9 +169,11 @@ class Encoder:
             starts = lists.offsets.to_numpy()
             coded = lists.flatten().dictionary_encode()
             pieces, places = coded.dictionary.to_pylist(), coded.indices
-            self._learn([p for p in pieces if p not in known])
+            new = [p for p in pieces if p not in known]
+            self._learn(new)
             values = [known[p] for p in pieces]
             which = places.to_numpy()
+            self._keep(new, pieces, which)
             whole = np.zeros(len(at), bool)
             if None in values:
                 whole = np.logical_or.reduceat(np.array([v is None for v in values])[which], starts[:-1])
