@@ -46,6 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one column row_: beside it, an operator's own columns can't clash with any of them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row_")
+
+
+def row_columns(df: DataFrame) -> list[Column]:
+    """The columns of df again, out of row_."""
+    return [F.col("row_").getField(c).alias(c) for c in df.columns]
+
+
 def trim() -> None:
     """Gives memory that a Python worker has freed back to the system: idle workers count, too."""
     import ctypes

@@ -23,6 +23,8 @@ from tessera.llm.common import text_slices, trim
 SYMBOLS, ORDERS = 64, 3
 #: Labelled documents that are learned from, at most, all languages together.
 TRAIN_ROWS = 1600
+#: But so many of each language, however many languages there are: each is learned.
+LEAST_ROWS = 10
 LANDMARKS = 160
 RIDGE = 0.05
 #: Where the grams of order n begin among all.
@@ -125,17 +127,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` documents (about equally many of each language) outside the held-out quarter.
+    """A model from about `rows` documents (equally many of each language, LEAST_ROWS or more) outside the held-out quarter.
 
-    Documents are taken by the hash of their ids, up to a limit that each language's count sets. Only the distinct grams
+    Documents are taken by the hash of their ids, up to a limit that each language's count sets; every language is learned, so
+    the sample grows with the languages, not with the documents. Only the distinct grams
     of a text reach the driver, of bounded size for texts of any length.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n_")).orderBy(F.desc("n_"), "lang").limit(max(1, rows // 10))
-    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*").over(Window.partitionBy()) / F.col("n_"))
-    shares = counts.withColumn("share_", share).select("lang", "share_")  # rows / 10 rows at most
+    counts = known.groupBy("lang").agg(F.count("*").alias("n_"))
+    languages = F.count("*").over(Window.partitionBy())
+    each = F.greatest(F.lit(float(rows)) / languages, F.lit(float(LEAST_ROWS)))
+    shares = counts.withColumn("share_", F.least(F.lit(1.0), each / F.col("n_"))).withColumn("languages_", languages)
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    taken = known.join(F.broadcast(shares), "lang").where(unit < F.col("share_")).select("doc_id", "text", "lang")
+    # A row for each language: the planner broadcasts it unless there are very many.
+    taken = known.join(shares, "lang").where(unit < F.col("share_")).select("doc_id", "text", "lang")
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
@@ -143,7 +148,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["doc_id"], "lang": pdf["lang"], "grams": [grams(t).astype(np.int32) for t in pdf["text"]]})
 
-    found = taken.mapInPandas(run, "id long, lang string, grams array<int>").orderBy(F.xxhash64("id"), "id", "lang", "grams").limit(2 * rows).collect()
+    most = max(2 * rows, 2 * LEAST_ROWS * counts.count())
+    found = taken.mapInPandas(run, "id long, lang string, grams array<int>").orderBy(F.xxhash64("id"), "id", "lang", "grams").limit(most).collect()
     return fit([(np.array(r["grams"], np.int64), r["lang"]) for r in found])
 
 

@@ -8,10 +8,10 @@ lines for each document that loses some, run-length encoded; texts are joined on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, ascii_lower, written
+from tessera.llm.common import SPACES, ascii_lower, row_columns, whole_row, written
 
 #: A key with more than this fraction of all long lines is handled by sums instead of a run.
 HOT_SHARE = 1024
@@ -21,17 +21,17 @@ SKETCH_ITEMS = 8192
 NO_ID = -(2**63)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """id_, fp_ name a document; documents equal in both are one. text_ is its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"id_": F.coalesce(F.col("doc_id"), F.lit(NO_ID)), "text_": text, "fp_": F.xxhash64(text)})
+    return docs.select(*more, F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id_"), text.alias("text_"), F.xxhash64(text).alias("fp_"))
 
 
 def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1_, h2_, id_, fp_, pos_) of every line whose key has min_chars code points or more."""
     key = ascii_lower(F.btrim(F.col("line_"), F.lit(SPACES)))
     return (
-        _keyed(docs.select("doc_id", "text"))
+        _keyed(docs)
         .select("id_", "fp_", F.posexplode(F.split("text_", "\n")).alias("pos_", "line_"))
         .select("id_", "fp_", "pos_", key.alias("key_"))
         .where(F.char_length("key_") >= min_chars)
@@ -95,13 +95,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hot_shar
     of = lambda lines: F.array_join(F.flatten(F.transform("keep_runs_", lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
     kept = F.get(F.transform(F.array(F.split("text_", "\n")), of), F.lit(0))
     n_lines = (F.octet_length("text_") - F.octet_length(F.replace("text_", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    own = [c for c in docs.columns if c not in ("text_kept", "n_lines", "n_dropped")]
-    return _keyed(docs).join(maps, ["id_", "fp_"], "left").select(
-        *own,
+    own = [row for name, row in zip(docs.columns, row_columns(docs)) if name not in ("text_kept", "n_lines", "n_dropped")]
+    out = _keyed(docs, whole_row(docs)).join(maps, ["id_", "fp_"], "left").select(
+        "row_",
         F.when(F.col("dropped_").isNull(), F.col("text_")).otherwise(kept).alias("text_kept"),
         n_lines.alias("n_lines"),
         F.coalesce("dropped_", F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return out.select(*own, "text_kept", "n_lines", "n_dropped")
 
 
 def digest(docs: DataFrame) -> DataFrame:

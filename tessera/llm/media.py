@@ -37,6 +37,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at, top = m.end(), int(m[1])
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
     n = int(np.prod(shape))
+    if not n or not 0 < top < 65536:
+        raise ValueError("no samples, or a maximum that isn't one")
     if kind == 4:
         rows = np.frombuffer(data, np.uint8, height * ((width + 7) // 8), at + 1).reshape(height, -1)
         return np.where(np.unpackbits(rows, axis=1, count=width), 0, 255).astype(np.uint8)
@@ -44,7 +46,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         bits = re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n]
         return np.where(np.frombuffer(bits, np.uint8) == 49, 0, 255).astype(np.uint8).reshape(shape)
     if kind in (2, 3):
-        return np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.uint16 if top > 255 else np.uint8).reshape(shape)
+        found = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.int64).reshape(shape)
+        if found.min() < 0 or found.max() > top:
+            raise ValueError("a sample beyond the maximum")
+        return found.astype(np.uint16 if top > 255 else np.uint8)
     return np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1).reshape(shape)
 
 
@@ -132,7 +137,7 @@ def tiles(images: DataFrame, column: str = "image", size: int = 16) -> DataFrame
                 try:
                     samples = decode(bytes(data))
                     found.append((npy_tile(samples, size, top_sample(bytes(data))), difference_hash(samples)))
-                except (ValueError, TypeError, AttributeError, struct.error):
+                except Exception:  # whatever is wrong with one image, the others' job goes on
                     found.append((None, None))
             yield pdf.assign(tile=[t for t, _ in found], dhash=[d for _, d in found])
 

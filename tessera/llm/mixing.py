@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import n_words, written
+from tessera.llm.common import n_words, row_columns, whole_row, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
@@ -107,7 +107,7 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """doc_id, source, fp_ (hash of the text), size, source_size, target and copies of every document.
 
     Words are counted in whole texts (null: none). Coins are hashes of id, text and source, and buckets too, so reruns
-    agree; equal rows meet in one bucket. A source's words come to its target but for less than its smallest
+    agree. A source's words come to its target but for less than its smallest
     documents, as far as one bucket can settle. Null sources are one source, the last; a source without
     words has target 0 and its documents 0 copies; an empty document is taken floor(f) times or once more by its own coin.
     """
@@ -119,9 +119,12 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     frac = f - F.floor(f)
     frac = F.when(F.col("size") > 0, frac).otherwise((_uniform(-1) < frac).cast("double"))
+    # Equal rows are numbered, so that a row that a table repeats very often fills buckets, not one.
+    same = Window.partitionBy("doc_id", "source", "fp_").orderBy("size")
+    sized = sized.withColumn("part_", F.floor(F.row_number().over(same) / bucket_rows))
     units = sized.join(sources, F.col("source").eqNullSafe(F.col("source_key_"))).select(
         "doc_id", "source", "fp_", "size", "source_size", "target", F.floor(f).cast("int").alias("whole_"), frac.alias("x_"),
-        F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "fp_", "source"), F.col("buckets_")).cast("int").alias("bucket_"),
+        F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "fp_", "source", "part_"), F.col("buckets_")).cast("int").alias("bucket_"),
     )
     is_open = (F.col("x_") > 0) & (F.col("x_") < 1)
     first = written(_met(units, 0), "mixed")
@@ -162,9 +165,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     copies = mix_copies(docs, weights, share, limit).groupBy(*key).agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
     copies = copies.select(*[F.col(c).alias(f"{c}k") for c in key], "copies_", "rows_")
     on = [F.col(c).eqNullSafe(F.col(f"{c}k")) for c in key]
-    rows = docs.withColumn("fp_", F.xxhash64("text")).join(copies, on)
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("fp_")) - 1
+    rows = docs.select(whole_row(docs), "doc_id", "source", F.xxhash64("text").alias("fp_")).join(copies, on)
+    # Rows that differ in other columns only are told apart by these, so that a task that runs again deals copies alike.
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row_"), F.to_json("row_"))) - 1
     share_ = F.floor((F.col("nth_") + 1) * F.col("copies_") / F.col("rows_")) - F.floor(F.col("nth_") * F.col("copies_") / F.col("rows_"))
     many = rows.where("rows_ > 1").withColumn("nth_", nth).withColumn("copies_", share_.cast("long")).drop("nth_")
     taken = rows.where("rows_ = 1").unionByName(many).where("copies_ > 0")
-    return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
+    return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*row_columns(docs))

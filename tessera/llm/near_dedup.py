@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import trim, written
+from tessera.llm.common import row_columns, trim, whole_row, written
 
 TREES, DEPTH, LEAST = 20, 8, 4
 #: Classes that are neighbours in a sorted order.
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, group: i
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that aren't kept; of rows with one kept id all stay."""
     kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_"))).select(*docs.columns)
+    return docs.select(whole_row(docs), F.col("doc_id").alias("id_")).join(kept, F.col("id_").eqNullSafe(F.col("kept_id_"))).select(*row_columns(docs))
 
 
 #: For two-word shingles; documents with unique ids.

@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_slices, written
@@ -121,7 +121,10 @@ def pack(found: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_PIE
         return pdf.assign(sequence_id=(int(pdf["bucket_"].iloc[0]) << 32) + at, offset=offsets)[names] if len(pdf) else pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    dealt = rest.withColumn("bucket_", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(buckets)).cast("int"))
+    # Equal rows are numbered, so that a row that a table repeats very often fills buckets, not one.
+    same = Window.partitionBy("doc_id", "start", "ids_crc32").orderBy("length")
+    rest = rest.withColumn("part_", F.floor(F.row_number().over(same) / bucket_pieces))
+    dealt = rest.withColumn("bucket_", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "part_"), F.lit(buckets)).cast("int")).drop("part_")
     return alone.select(*names).unionByName(dealt.groupBy("bucket_").applyInPandas(bfd, schema))
 
 

@@ -3,23 +3,31 @@
 One pattern finds all candidates; each is validated (Luhn and mod-97 checks, octets, calendar, digit
 counts) and then permuted by a keyed Feistel network within its own format: a card stays a valid card, a date a
 date. The permutation sees only the value, without separators, so equal values have equal pseudonyms in all
-documents and different values of one format have different ones. The round function is SHA-256 of key, kind, round and
+documents and different values of one format have different ones. It goes through the network, takes a step there and goes
+back, so no value is its own pseudonym. The round function is SHA-256 of key, kind, round and
 the other half. Everything is built from SQL functions; no row moves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import row_columns, whole_row
+
 ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Dates from FIRST_DAY on are permuted within DAYS[0] * DAYS[1] days (to 2100-05-01); others stay.
 FIRST_DAY, DAYS = "1900-01-01", (271, 270)
+#: Valid areas (001 to 899 but 666) and, in each, groups 01 to 99 times serials 0001 to 9999 of social-security numbers.
+SSN = (898, 99 * 9999)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Groups repeat a bounded number of times or possessively: others recurse once for each repeat and end the stack on long texts.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[0-9a-f]{16,64}+(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\d|[./-]\d)",
@@ -40,26 +48,55 @@ def _random(key: str, *parts) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def permuted(value: Column, alphabets: list[str], key: str, kind: str) -> Column:
-    """value with every symbol of an alphabet moved within it; other symbols stay.
+def permuted(value: Column, alphabets: list[str], key: str, kind: str, at: Callable[[Column], Column] | None = None, narrow: list[str] | None = None) -> Column:
+    """value with every symbol of an alphabet moved within it; other symbols stay. Places that `at` picks have the alphabets `narrow`.
 
     A Feistel network whose halves are the even and the odd places: in each round the symbols of one half
-    are shifted by numbers that depend on their place and the whole other half. It can be undone round by round.
+    are shifted by numbers that depend on their place and the whole other half. After ROUNDS rounds each symbol takes a step
+    in its alphabet; then the rounds are undone. So every value with a symbol of an alphabet changes.
     """
 
-    def shift(c: Column, by: Column) -> Column:
+    def within(c: Column, own: list[str], by: Callable[[int], Column]) -> Column:
         out = c
-        for a in alphabets:
-            at = F.instr(F.lit(a), c).cast("long")
-            out = F.when(at > 0, F.substr(F.lit(a), (F.pmod(at - 1 + by, F.lit(len(a))) + 1).cast("int"), F.lit(1))).otherwise(out)
+        for a in own:
+            place = F.instr(F.lit(a), c).cast("long")
+            out = F.when(place > 0, F.substr(F.lit(a), (F.pmod(place - 1 + by(len(a)), F.lit(len(a))) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
 
-    def round_(chars: Column, r: Column) -> Column:
+    def shift(c: Column, i: Column, by: Callable[[int], Column]) -> Column:
+        return within(c, alphabets, by) if at is None else F.when(at(i), within(c, narrow, by)).otherwise(within(c, alphabets, by))
+
+    def round_(chars: Column, t: Column) -> Column:
+        r = F.when(t < ROUNDS, t).otherwise(2 * ROUNDS - t)
+        sign = F.when(t < ROUNDS, F.lit(1)).otherwise(F.lit(-1)).cast("long")
         other = F.array_join(F.filter(chars, lambda _, i: i % 2 != r % 2), "")
-        return F.transform(chars, lambda c, i: F.when(i % 2 == r % 2, shift(c, _random(key, kind, r.cast("string"), i.cast("string"), other) % 1_000_000_007)).otherwise(c))
+        turn = lambda i: sign * (_random(key, kind, r.cast("string"), i.cast("string"), other) % 1_000_000_007)
+        rounds = F.transform(chars, lambda c, i: F.when(i % 2 == r % 2, shift(c, i, lambda n: turn(i))).otherwise(c))
+        step = F.transform(chars, lambda c, i: shift(c, i, lambda n: 1 + _random(key, kind, "step") % (n - 1)))
+        return F.when(t == ROUNDS, step).otherwise(rounds)
 
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), chars, round_), "")
+    return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS)), chars, round_), "")
+
+
+def moved(n: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
+    """Another number of 0 .. sizes[0] * sizes[1] - 1, by the same way with the two digits of n as halves."""
+
+    def size(r: Column) -> Column:
+        return F.when(r % 2 == 0, F.lit(sizes[0])).otherwise(F.lit(sizes[1])).cast("long")
+
+    def turn(r: Column, half: Column) -> Column:
+        return _random(key, kind, r.cast("string"), half.cast("string")) % 1_000_000_007
+
+    def round_(s: Column, t: Column) -> Column:
+        r, a, b = F.when(t < ROUNDS, t).otherwise(2 * ROUNDS - t), s["a"], s["b"]
+        of = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+        step = of(a, F.pmod(b + 1 + _random(key, kind, "step") % (sizes[1] - 1), F.lit(sizes[1]).cast("long")))
+        return F.when(t < ROUNDS, of(b, F.pmod(a + turn(r, b), size(r)))).when(t == ROUNDS, step).otherwise(of(F.pmod(b - turn(r, a), size(r)), a))
+
+    start = F.struct(F.floor(n / sizes[1]).cast("long").alias("a"), F.pmod(n, F.lit(sizes[1]).cast("long")).alias("b"))
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS)), start, round_)
+    return out["a"] * sizes[1] + out["b"]
 
 
 def _digits(x: Column) -> Column:
@@ -113,10 +150,9 @@ def pseudonym_iban(m: Column, key: str) -> Column:
 
 def pseudonym_ip(m: Column, key: str) -> Column:
     """The address as two halves of 16 bits."""
-    o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    start = F.struct((F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1))).alias("a"), (F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3))).alias("b"))
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, lambda s, r: F.struct(s["b"].alias("a"), s["a"].bitwiseXOR(_random(key, "ip", r.cast("string"), s["b"].cast("string")) % 65536).alias("b")))
-    return F.array_join(F.flatten(F.transform(F.array(out["a"], out["b"]), lambda x: F.array(F.shiftright(x, 8), x.bitwiseAND(F.lit(255).cast("long"))))), ".")
+    n = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
+    n = moved(n, (65536, 65536), key, "ip")
+    return F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda by: F.pmod(F.floor(n / F.pow(F.lit(2.0), by)), F.lit(256).cast("long"))), ".")
 
 
 def pseudonym_date(m: Column, key: str) -> Column:
@@ -129,14 +165,7 @@ def pseudonym_date(m: Column, key: str) -> Column:
     mdy = F.try_to_date(F.format_string("%04d-%02d-%02d", z, x, y), "yyyy-MM-dd")
     day = F.when(iso, ymd).otherwise(F.coalesce(dmy, mdy))
     n = F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    start = F.struct(F.floor(n / DAYS[1]).alias("a"), F.pmod(n, F.lit(DAYS[1]).cast("long")).alias("b"))
-
-    def step(s: Column, r: Column) -> Column:
-        size = F.when(r % 2 == 0, F.lit(DAYS[0])).otherwise(F.lit(DAYS[1])).cast("long")
-        return F.struct(s["b"].alias("a"), F.pmod(s["a"] + _random(key, "date", r.cast("string"), s["b"].cast("string")) % 1_000_000_007, size).alias("b"))
-
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["a"] * DAYS[1] + out["b"]).cast("int"))
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), moved(n, DAYS, key, "date").cast("int"))
     order = F.when(iso, F.array(F.lit("yyyy"), F.lit("MM"), F.lit("dd"))).when(dmy.isNotNull(), F.array(F.lit("dd"), F.lit("MM"), F.lit("yyyy"))).otherwise(F.array(F.lit("MM"), F.lit("dd"), F.lit("yyyy")))
     parts = {"yyyy": F.date_format(new, "yyyy"), "MM": F.date_format(new, "MM"), "dd": F.date_format(new, "dd")}
     separator = F.regexp_extract(m, "[-/.]", 0)
@@ -145,17 +174,27 @@ def pseudonym_date(m: Column, key: str) -> Column:
 
 
 def pseudonym_phone(m: Column, key: str) -> Column:
-    """+ and country code (to the first separator, 1 digit without one) stay; 7 to 15 digits in all."""
+    """+ and country code (to the first separator, 1 digit without one) stay; 7 to 15 digits in all. A number's first digit
+    stays zero or not; North American area and exchange codes stay within 200 to 999."""
     head = F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1)
     head = F.when(head != "", head).when(m.startswith("+"), F.substring(m, 2, 1)).otherwise(F.lit(""))
     d = _digits(m)
     rest = F.substr(d, F.length(head) + 1, F.length(d))
-    return F.when(F.length(d).between(7, 15), filled(m, F.concat(head, permuted(rest, [DIGITS], key, "phone"))))
+    american = head.isin("", "1") & (F.length(rest) == 10)
+    new = F.when(american, permuted(rest, [DIGITS], key, "phone", lambda i: i.isin(0, 3), [DIGITS[2:], DIGITS[:2]]))
+    new = new.otherwise(permuted(rest, [DIGITS], key, "phone", lambda i: i == 0, [DIGITS[1:]]))
+    return F.when(F.length(d).between(7, 15), filled(m, F.concat(head, new)))
 
 
 def pseudonym_ssn(m: Column, key: str) -> Column:
+    """Areas 000, 666 and 900 on, group 00 and serial 0000 are never given out: not valid, and never a pseudonym."""
     valid = ~m.rlike("^(?:000|666|9..)|-00-|-0000$")
-    return F.when(valid, filled(m, permuted(_digits(m), [DIGITS], key, "ssn")))
+    area, group, serial = (F.substring(m, *at).cast("long") for at in ((1, 3), (5, 2), (8, 4)))
+    n = (area - 1 - F.when(area > 666, 1).otherwise(0)) * SSN[1] + (group - 1) * 9999 + serial - 1
+    n = moved(n, SSN, key, "ssn")
+    area, rest = F.floor(n / SSN[1]), F.pmod(n, F.lit(SSN[1]).cast("long"))
+    new = F.format_string("%03d-%02d-%04d", area + 1 + F.when(area >= 665, 1).otherwise(0), F.floor(rest / 9999) + 1, F.pmod(rest, F.lit(9999).cast("long")) + 1)
+    return F.when(valid, new)
 
 
 def pseudonym_email(m: Column, key: str) -> Column:
@@ -195,10 +234,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     text = F.col("text")
     has = F.coalesce(text.rlike(MAYBE), F.lit(False))
-    own = [c for c in docs.columns if c != "n_found"]
     found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.select(*own, found.alias("found_"))
+    out = docs.select(whole_row(docs), text.alias("text_"), found.alias("found_"))
     out = out.withColumn("new_", F.transform("found_", lambda m: F.coalesce(pseudonym(m, key), m)))
-    joined = F.array_join(F.zip_with(F.split(text, ANY), "new_", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(F.split("text_", ANY), "new_", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with("found_", "new_", lambda a, b: a != b), lambda x: x))
-    return out.select(*[c for c in own if c != "text"], F.when(F.size("found_") > 0, joined).otherwise(text).alias("text"), changed.cast("long").alias("n_found")).select(*own, "n_found")
+    out = out.select("row_", F.when(F.size("found_") > 0, joined).otherwise(F.col("text_")).alias("text_"), changed.cast("long").alias("n_found"))
+    own = dict(zip(docs.columns, row_columns(docs))) | {"text": F.col("text_").alias("text")}
+    own.pop("n_found", None)
+    return out.select(*own.values(), "n_found")

@@ -20,9 +20,22 @@ def rows() -> list[tuple]:
     return [(d, t, langs[i % 4], sources[i % 5], None if t is None else len(t), "x", i, None) for i, (d, t) in enumerate(texts)]
 
 
+#: Names that operators use themselves, as columns of the documents.
+CLASHING = (
+    "row_ id_ text_ fp_ pos_ key_ line_ h1_ h2_ nth_ n_ last_ top_ all_ x_ y_ s_ at_ dropped_ keep_runs_ found_ new_ copies_ rows_ copy_ kept_id_ tree_ "
+    "minima_ group_ root_ a_ b_ c_ bucket_ buckets_ whole_ over_ home_ start_ part_ w_ level_ u_ share_ source_key_ doc_idk a b u v m"
+).split()
+
+
+def with_clashes(df):
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+
+
 def documents(spark):
-    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    return with_clashes(spark.createDataFrame(rows(), SCHEMA).repartition(3))
 
 
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return with_clashes(spark.createDataFrame([], SCHEMA))

@@ -52,3 +52,10 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97
+
+
+def test_rare_languages_are_learned(spark):
+    """Each of 30 languages has its own letters; the sample asked for is smaller than the number of languages."""
+    texts = [(i, " ".join(chr(0x4E00 + 40 * (i % 30) + (i * k) % 37) * 3 for k in range(1, 30)), f"l{i % 30}") for i in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert len(language.train(docs, rows=20).languages) == 30

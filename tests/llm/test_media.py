@@ -65,3 +65,13 @@ def test_tiles_scale_by_the_maximum(spark):
     df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(images)], "id int, image binary")
     for r in media.tiles(df, size=2).collect():
         assert (np.load(io.BytesIO(r.tile)) == want).all()
+
+
+ODD = [b"P5 0 0 255\n", b"P5 0 4 255\n", b"P2 1 1 255 300", b"P2 1 1 255 -3", b"P2 1 1 255 x", b"P5 2 2 70000\n" + bytes(8), b"P5 2 2 0\n" + bytes(4), b"P5 9 9 255\n", b"P5", b"", b"BM", b"BM" + bytes(60), media.encode_bmp(np.zeros((2, 2), np.uint8))[:54] + bytes([0, 0, 0, 0]) + b"\xff" * 8]
+
+
+def test_odd_images_are_null(spark):
+    good = media.encode_pgm(np.arange(64, dtype=np.uint8).reshape(8, 8))
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([*ODD, good])], "id int, image binary").coalesce(1)
+    out = {r.id: r for r in media.tiles(df).collect()}
+    assert all(out[i].tile is None and out[i].dhash is None for i in range(len(ODD) - 1)) and out[len(ODD)].tile is not None

@@ -1,6 +1,10 @@
+import datetime
+import hashlib
+import random
 import re
 
-from cases import SCHEMA, documents, empty, rows
+import pytest
+from cases import CLASHING, documents, empty, rows
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
@@ -64,4 +68,93 @@ def test_odd_cases(spark):
     assert set(out.columns) == {*documents(spark).columns, "n_found"}
     assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(str(r[:2]) for r in rows())
     assert pii.pseudonymise(empty(spark), KEY).collect() == []
-    assert SCHEMA
+    own = pii.pseudonymise(documents(spark).where("doc_id = 2").withColumn("text", F.lit("mail q@b.org")), KEY).first()
+    assert own.text.endswith("@b.org") and own.n_found == 1 and own.text_ == "own text_" and own.text != "mail q@b.org"
+    names = ["doc_id", "source", *CLASHING]
+    kept = out.where("doc_id = 2").select(*names).first()
+    assert [kept[c] for c in CLASHING] == [f"own {c}" for c in CLASHING]
+
+
+def draw(*parts):
+    return int(hashlib.sha256("|".join((KEY, *map(str, parts))).encode()).hexdigest()[:15], 16)
+
+
+def plain_symbols(value, alphabets, kind, special=None):
+    """The permutation symbol by symbol; special: {place: alphabets}."""
+    chars = list(value)
+
+    def turned(c, i, by):
+        for a in (special or {}).get(i, alphabets):
+            if c in a:
+                return a[(a.index(c) + by(len(a))) % len(a)]
+        return c
+
+    def round_(r, sign):
+        other = "".join(c for i, c in enumerate(chars) if i % 2 != r % 2)
+        for i in range(r % 2, len(chars), 2):
+            chars[i] = turned(chars[i], i, lambda n: sign * (draw(kind, r, i, other) % 1_000_000_007))
+
+    for r in range(pii.ROUNDS):
+        round_(r, 1)
+    chars[:] = [turned(c, i, lambda n: 1 + draw(kind, "step") % (n - 1)) for i, c in enumerate(chars)]
+    for r in reversed(range(pii.ROUNDS)):
+        round_(r, -1)
+    return "".join(chars)
+
+
+def plain_number(n, sizes, kind):
+    a, b = divmod(n, sizes[1])
+    for r in range(pii.ROUNDS):
+        a, b = b, (a + draw(kind, r, b) % 1_000_000_007) % sizes[r % 2]
+    b = (b + 1 + draw(kind, "step") % (sizes[1] - 1)) % sizes[1]
+    for r in reversed(range(pii.ROUNDS)):
+        a, b = (b - draw(kind, r, a) % 1_000_000_007) % sizes[r % 2], a
+    return a * sizes[1] + b
+
+
+def test_equals_a_plain_network(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice(pii.DIGITS) for _ in range(n))
+    texts, want = [], []
+    for _ in range(60):
+        area, group, serial = rng.choice([x for x in range(1, 900) if x != 666]), rng.randrange(1, 100), rng.randrange(1, 10_000)
+        n = plain_number(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, pii.SSN, "ssn")
+        a, rest = divmod(n, pii.SSN[1])
+        texts.append(f"{area:03d}-{group:02d}-{serial:04d}")
+        want.append(f"{a + 1 + (a >= 665):03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}")
+        day = rng.randrange(pii.DAYS[0] * pii.DAYS[1])
+        first = datetime.date(1900, 1, 1)
+        texts.append((first + datetime.timedelta(day)).isoformat())
+        want.append((first + datetime.timedelta(plain_number(day, pii.DAYS, "date"))).isoformat())
+        octets = [rng.randrange(256) for _ in range(4)]
+        n = plain_number(int.from_bytes(bytes(octets)), (65536, 65536), "ip")
+        texts.append(".".join(map(str, octets)))
+        want.append(".".join(map(str, n.to_bytes(4))))
+        phone = rng.choice("23456789") + digits(2) + rng.choice("23456789") + digits(6)
+        new = plain_symbols(phone, [pii.DIGITS], "phone", {0: ["23456789", "01"], 3: ["23456789", "01"]})
+        texts.append(f"({phone[:3]}) {phone[3:6]}-{phone[6:]}")
+        want.append(f"({new[:3]}) {new[3:6]}-{new[6:]}")
+        name = "".join(rng.choice("abcXYZ019._") for _ in range(rng.randrange(1, 9))) + "q"
+        texts.append(f"{name}@mail.example")
+        want.append(plain_symbols(name, [pii.DIGITS, pii.LOWER, pii.UPPER], "email") + "@mail.example")
+    assert [t for t, _ in changed(spark, texts)] == want
+    assert all(a != b for a, b in zip(texts, want))
+
+
+def test_pseudonyms_are_valid_and_never_the_value(spark):
+    rng = random.Random(5)
+    numbers = [f"{rng.choice([x for x in range(1, 900) if x != 666]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10_000):04d}" for _ in range(1000)]
+    out = changed(spark, numbers)
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", t) for t, _ in out) and len({t for t, _ in out}) == len(set(numbers))
+    phones = [f"{rng.randrange(200, 1000)}-{rng.randrange(200, 1000)}-{rng.randrange(10_000):04d}" for _ in range(1000)]
+    out = changed(spark, phones)
+    assert all(re.fullmatch(r"[2-9]\d\d-[2-9]\d\d-\d{4}", t) for t, _ in out) and len({t for t, _ in out}) == len(set(phones))
+    names = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    out = changed(spark, names)
+    assert all(n == 1 and t != old for (t, n), old in zip(out, names)) and len({t for t, _ in out}) == len(names)
+
+
+@pytest.mark.parametrize("long", ["a@b" + ".c" * 500_000, "a@" + "b" * 1_000_000 + ".c", "1" * 1_000_000, "1 " * 500_000, "1.1." * 250_000, "DE89" + " A1B2" * 200_000, "+1" + "-22" * 300_000, "2020-" * 200_000, "password=" * 100_000, "-" * 1_000_000, "a." * 500_000 + "@b.c", "0" * 1_000_000 + "@b.c"])
+def test_very_long_texts(spark, long):
+    ((text, _),) = changed(spark, [long])
+    assert len(text) == len(long)
