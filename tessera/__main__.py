@@ -1,7 +1,13 @@
 """python -m tessera COMMAND: the linkage pipelines over tab-separated files.
 
 link    --s1 F --others F [F ...] --gold F --out DIR [--first]   the whole pipeline (--first: of the first generation)
-check   --result F --s1 F [--valid F ...]                        findings in a result file
+fit     --s1 F --others F [F ...] --gold F --model DIR           fits and saves all models
+predict --s1 F --others F [F ...] --model DIR --pairs DIR --out DIR   links records without known owners
+recut   --s1 F --model DIR --pairs DIR --out DIR                 decides again from saved pairs, by the tuned rule or
+        [--thr P | --floor P --extra N] [--blank COUNTRY,...]    another; none in blank countries
+check   --result F --s1 F [--valid F ...] [--candidates F]       findings in a result file
+
+fit and predict leave alone what is there already, unless --force is given.
 """
 
 from __future__ import annotations
@@ -19,15 +25,47 @@ from tessera.sources import files
 
 def raw_records(spark: SparkSession, s1: str, others: list[str]) -> DataFrame:
     """All files as raw records; the source comes from the id's prefix."""
-    tables = [files.read_tsv(spark, p) for p in (s1, *others)]
+    tables = [files.read_tsv(spark, p) for p in (s1, *files.present(spark, others))]
     rows = reduce(DataFrame.unionByName, tables)
     return rows.select("entity_id", F.substring("entity_id", 1, 2).alias("source"), "country", F.col("business_name").alias("name"), F.col("business_address").alias("address"))
 
 
+def owners_of(spark: SparkSession, gold: str) -> DataFrame:
+    return files.exploded(files.read_tsv(spark, gold, files.GOLD), "source1_entity_id", "matched_entity_ids").select("q_id", "s_id")
+
+
+def fit(spark: SparkSession, args: argparse.Namespace) -> None:
+    if not args.force and files.there(spark, f"{args.model}/meta/_SUCCESS"):  # written last
+        print(f"skip: {args.model} is there")
+        return
+    meta = linkage.fit_v3(raw_records(spark, args.s1, args.others), owners_of(spark, args.gold), args.model)
+    print(f"rule {meta['rule']}, F0.5 of tune entities {meta['tune_f05']}, of report entities {meta['report_f05']}")
+
+
+def predict(spark: SparkSession, args: argparse.Namespace) -> None:
+    if not args.force and files.there(spark, f"{args.pairs}/_SUCCESS"):
+        print(f"skip: {args.pairs} is there")
+    else:
+        linkage.predict_v3(raw_records(spark, args.s1, args.others), args.model).write.mode("overwrite").parquet(args.pairs)
+    args.thr = args.floor = args.extra = None
+    args.blank = ""
+    recut(spark, args)
+
+
+def recut(spark: SparkSession, args: argparse.Namespace) -> None:
+    rule = None
+    if args.thr is not None:
+        rule = {"method": "thr", "thr": args.thr}
+    elif args.floor is not None or args.extra is not None:
+        rule = {"method": "ef", "floor": 0.05 if args.floor is None else args.floor, "extra": args.extra or 0.0}
+    pairs = spark.read.parquet(args.pairs)
+    matches = linkage.recut(pairs, linkage.model.load(args.model, [], spark)[1], rule, [c for c in args.blank.split(",") if c])
+    files.write_results(spark, files.ids(files.read_tsv(spark, args.s1)), pairs, matches, args.out)
+
+
 def link(spark: SparkSession, args: argparse.Namespace) -> None:
     records = raw_records(spark, args.s1, args.others)
-    gold = files.read_tsv(spark, args.gold, files.GOLD)
-    owners = files.exploded(gold, "source1_entity_id", "matched_entity_ids").select("q_id", "s_id")
+    owners = owners_of(spark, args.gold)
     run = linkage.run_v1 if args.first else linkage.run_v3
     matches = run(records, owners).withColumn("rank", -F.col("p"))
     lines = files.result_lines(files.ids(records.where("source = 'S1'")), matches)
@@ -42,6 +80,9 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
     lines = lines.withColumn("nth", F.when(F.col("nth") > 0, F.monotonically_increasing_id() + 1).otherwise(0))
     valid = reduce(DataFrame.unionByName, [files.ids(files.read_tsv(spark, p)) for p in args.valid]) if args.valid else None
     found = validate.findings(lines, files.ids(files.read_tsv(spark, args.s1)), header, valid).collect()
+    if args.candidates:
+        lists = lambda path: files.exploded(files.read_tsv(spark, path, files.GOLD).where("source1_entity_id <> 'source1_entity_id'"), "source1_entity_id", "matched_entity_ids")
+        found += validate.not_candidates(lists(args.result), lists(args.candidates)).collect()
     for r in found:
         print(f"{r.severity}: {r.rule}: {r.n}: {r.examples}")
     return len(found)
@@ -55,7 +96,22 @@ def main(argv: list[str] | None = None) -> int:
         a.add_argument(name, required=True)
     a.add_argument("--others", nargs="+", required=True)
     a.add_argument("--first", action="store_true")
+    options = {
+        "fit": ("--s1", "--gold", "--model"), "predict": ("--s1", "--model", "--pairs", "--out"), "recut": ("--s1", "--model", "--pairs", "--out"),
+    }
+    for command, names in options.items():
+        c = commands.add_parser(command)
+        for name in names:
+            c.add_argument(name, required=True)
+        if command == "recut":
+            for name in ("--thr", "--floor", "--extra"):
+                c.add_argument(name, type=float)
+            c.add_argument("--blank", default="")
+        else:
+            c.add_argument("--others", nargs="+", required=True)
+            c.add_argument("--force", action="store_true")
     b = commands.add_parser("check")
+    b.add_argument("--candidates")
     b.add_argument("--result", required=True)
     b.add_argument("--s1", required=True)
     b.add_argument("--valid", nargs="*", default=[])
@@ -63,7 +119,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tessera").getOrCreate()  # master and memory come from spark-submit
     if args.command == "check":
         return int(check(spark, args) > 0)
-    link(spark, args)
+    {"link": link, "fit": fit, "predict": predict, "recut": recut}[args.command](spark, args)
     return 0
 
 

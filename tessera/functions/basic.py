@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import tables as T
-from tessera.functions.text import any_of, is_ascii, mapped, words
+from tessera.functions.text import any_of, is_ascii, latin, mapped, words
 
 SEPARATORS, BRACKETS = r"[,;:\-_/]+", r"[()\[\]{}\"']"
 
@@ -37,9 +37,14 @@ def states_in_latin(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{900}-\x{DFF}]"), out).otherwise(text)
 
 
-def recleaned(text: Column) -> Column:
-    """A cleaned text after transliteration: separators and brackets again, accents off. & and points stay as they are."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(states_in_latin(text)), SEPARATORS, " "), BRACKETS, " ")
+def recleaned(text: Column, native: bool = False) -> Column:
+    """A cleaned text after transliteration: separators and brackets again, accents off. & and points stay as they are.
+
+    native: other words in Indic letters are written in Latin ones, too; only such texts reach Python.
+    """
+    t = states_in_latin(text)
+    t = latin(t, "v1") if native else t
+    t = F.regexp_replace(F.regexp_replace(F.lower(t), SEPARATORS, " "), BRACKETS, " ")
     return F.lower(unaccented(F.trim(F.regexp_replace(t, r"\s+", " "))))
 
 
@@ -61,9 +66,9 @@ def numbers(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), " ")
 
 
-def record_columns(name: Column, address: Column) -> dict[str, Column]:
-    """name_clean, name_normalized, name_core, addr_clean, addr_normalized, addr_numbers."""
-    n, a = recleaned(clean_text(name)), recleaned(clean_text(address))
+def record_columns(name: Column, address: Column, native: bool = False) -> dict[str, Column]:
+    """name_clean, name_normalized, name_core, addr_clean, addr_normalized, addr_numbers. native: see recleaned()."""
+    n, a = recleaned(clean_text(name), native), recleaned(clean_text(address), native)
     standard = standard_suffixes(n)
     return {
         "name_clean": clean_text(name), "name_normalized": standard, "name_core": name_core(standard),

@@ -24,7 +24,10 @@ LEGAL_FORMS = {
     "ei": "ei", "eirl": "eirl", "scp": "scp", "scs": "scs", "selarl": "selarl", "gie": "gie",
     "ets": "ets", "etablissements": "ets",
 }
-NAME_STOP = "the of and for in at by a an to on dba aka du de des la le les et d l da del y".split()
+NAME_STOP = [
+    "the", "of", "and", "for", "in", "at", "by", "a", "an", "to", "on", "dba", "aka", "du", "de", "des", "la", "le", "les", "et", "d", "l",
+    "da", "del", "y",
+]
 
 # Address words, for all countries and by country; an empty word is dropped.
 ADDRESS_WORDS = {
@@ -80,7 +83,10 @@ INDIA_STATES = {
     "ladakh": "la", "chandigarh": "ch", "puducherry": "py", "pondicherry": "py", "andaman and nicobar islands": "an",
     "dadra and nagar haveli": "dn", "daman and diu": "dd", "lakshadweep": "ld",
 }
-INDIA_CODES = "ap ar as br cg ct ga gj hr hp jh ka kl mp mh mn ml mz nl od or pb rj sk tn ts tg tr up uk ut wb dl jk ch py".split()
+INDIA_CODES = [
+    "ap", "ar", "as", "br", "cg", "ct", "ga", "gj", "hr", "hp", "jh", "ka", "kl", "mp", "mh", "mn", "ml", "mz", "nl", "od", "or", "pb",
+    "rj", "sk", "tn", "ts", "tg", "tr", "up", "uk", "ut", "wb", "dl", "jk", "ch", "py",
+]
 INDIA_CODE_ALIASES = {"or": "od", "ct": "cg", "tg": "ts", "ut": "uk"}
 FRANCE_REGIONS = {
     "hauts de france": "hdf", "nouvelle aquitaine": "naq", "pays de la loire": "pdl", "ile de france": "idf", "grand est": "ges",
@@ -94,6 +100,13 @@ STATES = {
     "france": FRANCE_REGIONS,
 }
 
+# Spellings of one sound in consonant skeletons, in the order in which they are replaced; # stands for ch meanwhile.
+SOUNDS_FIRST = [("chh", "ch"), ("ch", "#"), ("ck", "k")]
+SOUNDS = [
+    ("ph", "f"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("c", "k"), ("q", "k"),
+    ("x", "ks"), ("w", "v"), ("z", "s"),
+]
+
 # Offsets in an Indic block (all share one layout) and their Latin letters.
 INDIC_VOWELS = {
     0x05: "a", 0x06: "a", 0x07: "i", 0x08: "i", 0x09: "u", 0x0A: "u", 0x0B: "ri", 0x0C: "li", 0x0D: "e", 0x0E: "e", 0x0F: "e",
@@ -129,10 +142,10 @@ V1_LEGAL_FORMS = {
     "tech": "technologies", "partners": "partners", "industries": "industries", "consultants": "consultants",
     "consulting": "consulting", "investments": "investments", "properties": "properties", "ventures": "ventures", "dba": "dba",
 }
-V1_NAME_STOP = (
-    "the of and for in at by a an to on dba llc llp incorporated corporation limited private company sarl sas sasu sa sci eurl"
-    " snc groupe fils et"
-).split()
+V1_NAME_STOP = [
+    "the", "of", "and", "for", "in", "at", "by", "a", "an", "to", "on", "dba", "llc", "llp", "incorporated", "corporation", "limited",
+    "private", "company", "sarl", "sas", "sasu", "sa", "sci", "eurl", "snc", "groupe", "fils", "et",
+]
 V1_INDIA_STATES = {
     "उत्तर प्रदेश": "uttar pradesh", "महाराष्ट्र": "maharashtra", "कर्नाटक": "karnataka", "ಕರ್ನಾಟಕ": "karnataka",
     "तमिल नाडु": "tamil nadu", "தமிழ் நாடு": "tamil nadu", "राजस्थान": "rajasthan", "गुजरात": "gujarat",

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The grids.
 #: Rules that are tried: thresholds first (ties go to the first), then floors and unseen matches of the expected-F rule.
 THRESHOLDS = [round(0.1 + 0.025 * i, 3) for i in range(35)] + [0.96, 0.97, 0.98, 0.99]
 FLOORS, EXTRAS = [0.02, 0.05, 0.1, 0.2, 0.3], [0.0, 0.25, 0.5]

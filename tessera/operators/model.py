@@ -46,17 +46,25 @@ def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, flo
     return sorted(zip(features, map(float, values)), key=lambda x: (-x[1], x[0]))
 
 
-def cross_fit(rows: DataFrame, features: list[str], kind: str = "gbt", rounds: int = 40, held_out: Column | None = None) -> DataFrame:
-    """rows with p: each of two query folds is scored by the model of the other; held-out rows, which neither has seen, by the mean."""
-    fold, held = bucket(F.col("q_id"), 2), F.lit(False) if held_out is None else held_out
-    rows = rows.withColumns({"fold_": fold, "held_": held})
-    out = rows
-    for f in (0, 1):
-        out = predict(fit(rows.where((F.col("fold_") == f) & ~F.col("held_")), features, kind, rounds), out, f"p{f}_")
+def fit_folds(rows: DataFrame, features: list[str], kind: str = "gbt", rounds: int = 40, held_out: Column | None = None) -> list[PipelineModel]:
+    """A model for each of two query folds, of rows that aren't held out."""
+    known = rows if held_out is None else rows.where(~held_out)
+    return [fit(known.where(bucket(F.col("q_id"), 2) == f), features, kind, rounds) for f in (0, 1)]
+
+
+def score_folds(models: list[PipelineModel], rows: DataFrame, held_out: Column | None = None) -> DataFrame:
+    """rows with p: each fold is scored by the model of the other; held-out rows, which neither has seen, by the mean."""
+    out = rows.withColumns({"fold_": bucket(F.col("q_id"), 2), "held_": F.lit(False) if held_out is None else held_out})
+    for f, one in enumerate(models):
+        out = predict(one, out, f"p{f}_")
     p = F.when(F.col("held_"), (F.col("p0_") + F.col("p1_")) / 2).when(F.col("fold_") == 0, F.col("p1_")).otherwise(F.col("p0_"))
     return out.withColumn("p", p).drop("fold_", "held_", "p0_", "p1_")
 
 
+def cross_fit(rows: DataFrame, features: list[str], kind: str = "gbt", rounds: int = 40, held_out: Column | None = None) -> DataFrame:
+    return score_folds(fit_folds(rows, features, kind, rounds, held_out), rows, held_out)
+
+
 def blend(parts: list[str], weights: list[float]) -> Column:
     total = sum(weights)
     return sum((F.col(c) * (w / total) for c, w in zip(parts, weights)), F.lit(0.0))
@@ -82,14 +90,20 @@ def calibrate(best: DataFrame, label: str = "y") -> list[tuple[float, float]]:
 
 
 def interpolated(p: Column, knots: list[tuple[float, float]]) -> Column:
-    """Piecewise linear between knots, constant beyond them. The list of knots is a small part of a model."""
+    """Piecewise linear between knots, constant beyond them; the interval is found by a binary search in one array."""
     if not knots:
         return p
-    out = F.lit(knots[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:]))):
-        line = F.lit(y0) if x1 == x0 else F.lit(y0) + (p - x0) * ((y1 - y0) / (x1 - x0))
-        out = F.when(p <= x1, line).otherwise(out)
-    return F.when(p <= knots[0][0], F.lit(knots[0][1])).otherwise(out)
+    n = len(knots)
+    xs, ys = (F.array(*[F.lit(float(k[i])) for k in knots]) for i in (0, 1))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    # Knots below p, counted by steps of falling powers of two.
+    below = F.aggregate(steps, F.lit(0), lambda at, by: F.when((at + by <= n) & (F.get(xs, at + by - 1) < p), at + by).otherwise(at))
+
+    def at(k: Column) -> Column:
+        x0, y0, x1, y1 = (F.get(a, i) for i in (k - 1, k) for a in (xs, ys))
+        return F.when(k == 0, F.get(ys, F.lit(0))).when(k == n, F.get(ys, F.lit(n - 1))).otherwise(y0 + (p - x0) * ((y1 - y0) / (x1 - x0)))
+
+    return F.get(F.transform(F.array(below), at), F.lit(0))
 
 
 def save(models: dict[str, PipelineModel], meta: dict, path: str, spark) -> None:

@@ -9,11 +9,12 @@ from tessera.functions import text
 
 
 def in_latin(df: DataFrame, translit: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """df with name and address in Latin letters, by learned maps, and scr_: whether the name had Indic letters.
+    """df with name and address in Latin letters, by learned maps; scr_: whether the name had Indic letters; parts_: which parts
+    of the address had.
 
     Only texts with Indic letters reach Python.
     """
-    marked = df.withColumn("scr_", text.has_indic(F.col("name")))
+    marked = df.withColumns({"scr_": text.has_indic(F.col("name")), "parts_": text.native_parts(F.col("address"))})
     return marked.withColumns({"name": text.latin(F.col("name"), "name", translit), "address": text.latin(F.col("address"), "addr", translit)})
 
 
@@ -34,9 +35,10 @@ def with_name(df: DataFrame) -> DataFrame:
 
 
 def with_address(df: DataFrame) -> DataFrame:
-    """df with ad, st, nums, units and pin of columns address and country."""
+    """df with ad, st, nums, units and pin of columns address and country, and parts_ if in_latin() made it."""
+    native = F.col("parts_") if "parts_" in df.columns else F.array().cast("array<boolean>")
     df = df.withColumns({"c_": F.lower("country"), "t_": text.blank_if_null(F.col("address"))})
-    df = df.withColumn("lines_", text.address_lines(F.col("t_"), F.col("c_")))
+    df = df.withColumn("lines_", text.address_lines(F.col("t_"), F.col("c_"), native))
     df = df.withColumn("words_", text.address_words(F.col("lines_"), F.col("c_")))
     df = df.withColumn("nums_", text.address_numbers(F.col("words_")))
     codes = F.filter("lines_", lambda x: x["code"].isNotNull())

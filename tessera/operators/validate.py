@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXAMPLES = 5
+EXAMPLES, PARTS = 5, 512
 
 
 def findings(lines: DataFrame, required: DataFrame, header: str, valid: DataFrame | None = None) -> DataFrame:
@@ -37,10 +37,14 @@ def findings(lines: DataFrame, required: DataFrame, header: str, valid: DataFram
 
 
 def summary(found: DataFrame, severity: str) -> DataFrame:
-    """Findings (rule, x) by rule; the examples are the lowest distinct ones, kept few by each task."""
-    first = F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("rn_") <= EXAMPLES, F.col("x")))), 1, EXAMPLES), " ")
-    ranked = found.withColumn("rn_", F.dense_rank().over(Window.partitionBy("rule").orderBy("x")))
-    return ranked.groupBy("rule").agg(F.lit(severity).alias("severity"), F.count("*").alias("n"), first.alias("examples"))
+    """Findings (rule, x) by rule; the examples are the lowest distinct ones. Numbers are summed before the shuffle; examples
+    are ranked in PARTS parts of a rule first, so no task sorts all findings of one."""
+    total = found.groupBy("rule").agg(F.count("*").alias("n"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("rule", *by).orderBy("x"))
+    some = found.distinct().withColumn("part_", F.pmod(F.xxhash64("x"), F.lit(PARTS))).withColumn("rn_", rank("part_")).where(F.col("rn_") <= EXAMPLES)
+    some = some.withColumn("rn_", rank()).where(F.col("rn_") <= EXAMPLES)
+    examples = some.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("x")), " ").alias("examples"))
+    return total.join(examples, "rule").select("rule", F.lit(severity).alias("severity"), "n", "examples")
 
 
 def not_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:

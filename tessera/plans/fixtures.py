@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.normalize import normalized
@@ -28,12 +28,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 
 
+def distinct_words() -> Column:
+    """The distinct words of column text, none for null."""
+    return F.array_distinct(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != ""))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, source, country, name, address: business-like records from the words of documents.
 
-    The id's prefix tells the source; near copies of a document become near copies of a record.
+    Of all distinct words of a whole text, those with the least hashes are taken, wherever they stand: so near copies of a
+    document become near copies of a record. The id's prefix tells the source.
     """
-    w = F.split(F.trim("text"), r"\s+")
+    w = F.transform(F.slice(F.array_sort(F.transform(distinct_words(), lambda x: F.concat(F.md5(x), x))), 1, 7), lambda x: F.substr(x, F.lit(33)))
     at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
     d = F.col("doc_id")
     source = F.concat(F.lit("S"), (F.pmod(d, F.lit(3)) + 1).cast("string"))
@@ -60,8 +66,9 @@ def _sql_pick(values: list[str], i: str) -> str:
 
 
 _AT = "coalesce(w[{}], '')".format
+DISTINCT_SQL = "list_distinct(list_filter(string_split_regex(trim(coalesce(text, '')), '\\s+'), lambda x: x <> ''))"
 RECORDS_SQL = f"""
-docw AS (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS w FROM documents),
+docw AS (SELECT doc_id, list_transform(list_sort(list_transform({DISTINCT_SQL}, lambda x: md5(x) || x))[1:7], lambda x: substr(x, 33)) AS w FROM documents),
 docc AS (SELECT *, {_sql_pick(COUNTRIES, f"length({_AT(1)}) + length({_AT(2)})")} AS country FROM docw),
 records AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, 'S' || (doc_id % 3 + 1) AS source, country,
   {_AT(1)} || ' ' || {_AT(2)} || ' ' || {_AT(3)} || ' ' || {_sql_pick(FORMS, 'doc_id')} AS name,
@@ -94,14 +101,33 @@ def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q_id, s_id): the lowest S1 record among those whose documents begin alike; a stand-in for labels."""
-    d = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 60).alias("head"))
-    owners = d.where("doc_id % 3 = 0").groupBy("head").agg(F.min("doc_id").alias("s"))
-    q = d.where("doc_id % 3 <> 0").join(owners, "head")
-    return q.select(F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("q_id"), F.concat(F.lit("S1-"), F.col("s").cast("string")).alias("s_id"))
+    """(q_id, s_id): the S1 record whose document's distinct words are most like the query's, 0.8 or more by Jaccard, of equals the
+    lowest; a stand-in for labels.
 
-
-GOLD_SQL = """
-heads AS (SELECT doc_id, left(text, 60) AS head FROM documents),
-owners AS (SELECT head, min(doc_id) AS s FROM heads WHERE doc_id % 3 = 0 GROUP BY head),
-gold AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS q_id, 'S1-' || s AS s_id FROM heads JOIN owners USING (head) WHERE doc_id % 3 <> 0)"""
+    An exact join: words have one order, rare ones first, and pairs that alike share one of the first n - ceil(0.8 n) + 1 of each.
+    """
+    return stage(spark, sf_dir, "gold", lambda: _gold(documents(spark, sf_dir)))
+
+
+def _gold(docs: DataFrame) -> DataFrame:
+    sets = staged(docs.select("doc_id", distinct_words().alias("ws")).withColumn("n", F.size("ws")), "sets")
+    each = sets.select("doc_id", "n", F.explode("ws").alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("c"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("c", "word"))
+    firsts = staged(each.join(counts, "word").withColumn("nth", nth).where(F.expr("nth <= n - (4 * n + 4) div 5 + 1")).select("doc_id", "word"), "firsts")
+    q = firsts.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("q"), "word")
+    pairs = q.join(firsts.where("doc_id % 3 = 0").select(F.col("doc_id").alias("s"), "word"), "word").select("q", "s").distinct()
+    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("ws").alias(f"{x}_ws"), F.col("n").alias(f"{x}_n"))
+    both = F.size(F.array_intersect("q_ws", "s_ws"))
+    rows = pairs.join(of("q"), "q").join(of("s"), "s").select("q", "s", both.alias("c"), (F.col("q_n") + F.col("s_n") - both).alias("u")).where("100 * c >= 80 * u")
+    best = rows.groupBy("q").agg(F.min(F.struct((-F.col("c") / F.col("u")).alias("d"), "s")).alias("b"))
+    return best.select(F.concat(F.lit("S"), (F.col("q") % 3 + 1).cast("string"), F.lit("-"), F.col("q").cast("string")).alias("q_id"), F.concat(F.lit("S1-"), F.col("b.s").cast("string")).alias("s_id"))
+
+
+GOLD_SQL = f"""
+gold_sets AS (SELECT doc_id, {DISTINCT_SQL} AS ws FROM documents),
+gold_words AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word FROM gold_sets),
+gold_pairs AS (SELECT q.doc_id AS q, s.doc_id AS s, count(*) AS c, any_value(q.n + s.n) - count(*) AS u FROM gold_words q JOIN gold_words s USING (word)
+  WHERE q.doc_id % 3 <> 0 AND s.doc_id % 3 = 0 GROUP BY ALL),
+gold_best AS (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY -c / u, s) AS nth FROM gold_pairs WHERE 100 * c >= 80 * u),
+gold AS (SELECT 'S' || (q % 3 + 1) || '-' || q AS q_id, 'S1-' || s AS s_id FROM gold_best WHERE nth = 1)"""

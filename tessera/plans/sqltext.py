@@ -55,7 +55,7 @@ def folded(x: str) -> str:
 def phon(x: str) -> str:
     w = f"replace(replace(replace(lower({x}), 'chh', 'ch'), 'ch', '#'), 'ck', 'k')"
     w = f"regexp_replace(regexp_replace({w}, 'c([eiy])', 's\\1', 'g'), 'g([ei])', 'j\\1', 'g')"
-    for a, b in [p.split(":") for p in "ph:f sh:s th:t dh:d bh:b kh:k gh:g jh:j c:k q:k x:ks w:v z:s".split()]:
+    for a, b in T.SOUNDS:
         w = f"replace({w}, '{a}', '{b}')"
     w = f"regexp_replace({w}, 'j$', 's')"
     # One list holds the word so that it is written once.

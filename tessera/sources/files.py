@@ -18,6 +18,22 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD, colu
     return df.na.fill("").select(columns or df.columns)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path, on any file system that Spark knows, exists."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that exist; a warning for each that doesn't."""
+    import warnings
+
+    found = [p for p in paths if there(spark, p)]
+    for p in sorted(set(paths) - set(found)):
+        warnings.warn(f"{p} is missing and skipped", stacklevel=2)
+    return found
+
+
 def missing_inferred(df: DataFrame) -> DataFrame:
     """Text columns with the usual spellings of a missing value as empty."""
     return df.select(*[F.when(F.col(f.name).isin(MISSING) | F.col(f.name).isNull(), F.lit("")).otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
@@ -67,3 +83,10 @@ def result_lines(s1_ids: DataFrame, matches: DataFrame, rank: str = "rank") -> D
 def write_tsv(lines: DataFrame, path: str, header: tuple[str, str], order: str = "s_id") -> None:
     """Result lines in order, as parts of one range each with a header; concatenated parts are the whole file."""
     lines.orderBy(order).select(F.col("s_id").alias(header[0]), F.col("ids").alias(header[1])).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+
+
+def write_results(spark: SparkSession, s1_ids: DataFrame, pairs: DataFrame, matches: DataFrame, out: str) -> None:
+    """matching_results.tsv and candidate_pairs.tsv, folders of parts, under out: a row for every Source-1 id, the most likely first."""
+    for name, column, rows in (("matching_results", "matched_entity_ids", matches), ("candidate_pairs", "candidate_entity_ids", pairs)):
+        lines = result_lines(s1_ids, rows.select("s_id", "q_id", (-F.round("p", 6)).alias("rank")))
+        write_tsv(lines, f"{out}/{name}.tsv", ("source1_entity_id", column))
