@@ -2,14 +2,16 @@
 
 1. Each text becomes the hashes of its distinct word shingles, a fingerprint of that set, and DEPTH minima for
    each of TREES orders. Documents with equal sets are one class, named by its smallest id.
-2. The forest: each order is all classes sorted by their minima. Within a sorted run, classes next to each
-   other whose common prefix is LEAST levels or longer are candidates; deeper levels bring the most similar of a large
+2. The forest: each order is all classes sorted by their minima. Within a sorted run, classes up to NEAR places apart
+   whose common prefix is LEAST levels or longer are candidates; deeper levels bring the most similar of a large
    region together. Pairs whose other minima hardly agree are left out.
 3. Candidates are joined to tentative groups. Each class of a group is sent, once, to the task of its group, which finds the
    exact components there: every pair that could matter is compared on full sets.
 4. A group over GROUP classes is cut into regions of the forest instead, each as deep as it takes to be small enough, which
    finds most links. An exact join on the rarest shingles of each set then compares every pair of such a group that
    could be linked and isn't connected yet; what it adds is joined again.
+5. Runs longer than NEAR places are chains: the components that a chain joins are compared by the same exact join. So any pair that
+   shares a prefix of LEAST levels in one order is compared, however many classes stand between.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import row_columns, trim, whole_row, written
@@ -112,27 +114,56 @@ def _prefixes(trees: np.ndarray, keys: list[bytes]) -> np.ndarray:
 
 
 def neighbours(classes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: classes up to NEAR apart in an order with a common prefix of LEAST levels or more."""
+    """(a, b, sure) of classes in one run of an order, where all share a prefix of LEAST levels or more.
+
+    a < b, not sure: all pairs up to NEAR apart. sure: next to each other in a run that is too long for all its
+    pairs to be among these, or that a range of the sorted order begins or ends with, and across ranges.
+    """
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
+        from pyspark import TaskContext
+
+        part = 2 * TaskContext.get().partitionId()
+
+        def edges(a: np.ndarray, b: np.ndarray, sure: bool):
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pd.DataFrame({"a": both[0], "b": both[1], "sure": sure, "part": None, "tree_": None, "key_": None})
+
+        def end(row, at: int):
+            return pd.DataFrame({"a": [row["id_"]], "b": None, "sure": None, "part": at, "tree_": row["tree_"], "key_": [bytes(row["key_"])[: 2 * LEAST]]})
 
-        last = None
+        last, opening = None, True
         for pdf in batches:
-            pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
-            last = pdf.tail(NEAR)
-            if len(pdf) < 2:
+            if not len(pdf):
                 continue
+            if last is None:
+                yield end(pdf.iloc[0], part)
+            pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
+            last = pdf.tail(NEAR + 1)
             ids, lcp = pdf["id_"].to_numpy(), _prefixes(pdf["tree_"].to_numpy(), pdf["key_"].tolist())
-            parts = []
+            least = lcp
             for d in range(1, min(NEAR + 1, len(ids))):
-                least = lcp[: len(lcp) - d + 1] if d == 1 else np.minimum(least[:-1], lcp[d - 1 :])
+                least = lcp if d == 1 else np.minimum(least[:-1], lcp[d - 1 :])
                 at = np.flatnonzero(least >= LEAST)
-                parts.append(np.stack([np.minimum(ids[at], ids[at + d]), np.maximum(ids[at], ids[at + d])]))
-            out = np.unique(np.concatenate(parts, axis=1), axis=1)
-            yield pd.DataFrame({"a": out[0], "b": out[1]})
-
-    return _forest(classes).mapInPandas(run, "a long, b long").where("a <> b").distinct()
+                yield edges(ids[at], ids[at + d], False)
+            runs = np.concatenate([[0], np.cumsum(lcp < LEAST)])
+            long = np.bincount(runs) > NEAR + 1
+            long[0] |= opening
+            opening &= len(long) == 1
+            at = np.flatnonzero((lcp >= LEAST) & long[runs[1:]])
+            yield edges(ids[at], ids[at + 1], True)
+        if last is not None:
+            ids, lcp = last["id_"].to_numpy(), _prefixes(last["tree_"].to_numpy(), last["key_"].tolist())
+            begin = int(np.flatnonzero(np.concatenate([[True], lcp < LEAST]))[-1])
+            yield edges(ids[begin:-1], ids[begin + 1 :], True)
+            yield end(last.iloc[-1], part + 1)
+
+    found = written(_forest(classes).mapInPandas(run, "a long, b long, sure boolean, part int, tree_ int, key_ binary"), "neighbours")
+    w = Window.orderBy("part")  # two rows for each range
+    after = [F.lead(c).over(w).alias(f"{c}n") for c in ("a", "tree_", "key_")]
+    seams = found.where("part IS NOT NULL").select("*", *after).where("part % 2 = 1 AND tree_ = tree_n AND key_ = key_n").select("a", F.col("an").alias("b"), F.lit(True).alias("sure"))
+    return found.where("part IS NULL").select("a", "b", "sure").unionByName(seams).where("a <> b").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -338,6 +369,22 @@ def missing_links(sets: DataFrame, percent: int) -> DataFrame:
     return with_both.mapInPandas(confirm, "a long, b long").distinct()
 
 
+def across_runs(docs: DataFrame, sure: DataFrame, rooted: DataFrame, words: int, percent: int) -> DataFrame:
+    """rooted (id_, root_: components so far) with the links between components that long runs join: all pairs there that could be
+    linked are compared, near each other in an order or not."""
+    of = lambda x: rooted.select(F.col("id_").alias(x), F.col("root_").alias(f"{x}_root"))
+    joined = written(sure.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "across")
+    if joined.isEmpty():
+        return rooted
+    wide = components(joined).select(F.col("id_").alias("root_"), F.col("root_").alias("group_"))
+    members = written(rooted.join(wide, "root_").select("id_", "group_", "root_"), "members")
+    links = written(missing_links(written(_sets(docs, members, words), "sets"), percent), "links")
+    if links.isEmpty():
+        return rooted
+    merged = written(components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))), "merged")
+    return rooted.join(merged.select(F.col("id_").alias("root_"), F.col("root_").alias("new_")), "root_", "left").select("id_", F.coalesce("new_", "root_").alias("root_"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, group: int = GROUP, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -349,7 +396,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, group: i
     table = written(signatures(docs, words), "signatures")
     some = table.where("n_shingles > 0")
     classes = written(some.groupBy("a_", "b_").agg(F.min("id_").alias("id_"), F.first("minima_").alias("minima_")), "classes")
-    grouped = written(components(likely(neighbours(classes), classes)), "groups")
+    near = written(neighbours(classes), "near")
+    grouped = written(components(likely(near.where("NOT sure").select("a", "b"), classes)), "groups")
     sizes = grouped.groupBy("root_").agg(F.count("*").alias("n_"))
     sized = written(grouped.join(sizes, "root_").select("id_", F.col("root_").alias("group_"), "n_"), "sized")
     roots = _by_sets(docs, sized.where(F.col("n_") <= group).select("id_", "group_"), words, percent)
@@ -362,6 +410,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, group: i
         both = found.select(F.col("id_").alias("a"), F.col("root_").alias("b")).unionByName(missing_links(sets, percent))
         roots = roots.unionByName(components(both))
     roots = written(roots, "roots").groupBy("id_").agg(F.min("root_").alias("root_"))
+    rooted = written(classes.select("id_").distinct().join(roots, "id_", "left").select("id_", F.coalesce("root_", "id_").alias("root_")), "rooted")
+    roots = across_runs(docs, near.where("sure").select("a", "b"), rooted, words, percent)
     named = classes.select("a_", "b_", "id_").join(roots, "id_", "left").select("a_", "b_", F.coalesce("root_", "id_").alias("root_"))
     component = F.when(F.col("n_shingles") > 0, F.col("root_")).otherwise(F.col("id_"))
     out = table.select("id_", "n_shingles", "a_", "b_").join(named, ["a_", "b_"], "left").select("id_", "n_shingles", component.alias("c_"))

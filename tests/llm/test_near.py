@@ -103,3 +103,12 @@ def test_the_size_of_a_group_changes_no_result(spark):
     df = spark.createDataFrame(list(enumerate(template(3, 600, 60))), "doc_id long, text string")
     whole, cut = (got(near_dedup.near_duplicates(df, 2, group=g, region=4)) for g in (1000, 10))
     assert whole == cut
+
+
+@pytest.mark.parametrize("near", [0, 1])
+def test_long_runs_lose_no_link(spark, monkeypatch, near):
+    """Pairs further apart in every order than neighbours are taken, over several ranges of the orders."""
+    monkeypatch.setattr(near_dedup, "NEAR", near)
+    docs = list(enumerate(template(4, 300, 40) + [t for s, n in enumerate((2, 3, 30, 1)) for t in family(s, n)] + family(9, 1) * 5))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert got(near_dedup.near_duplicates(df, 2)) == brute(docs, 2)
