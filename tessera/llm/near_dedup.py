@@ -34,6 +34,8 @@ SKETCHED, AGREE = 3, 0.5
 GROUP, REGION = 1000, 400
 #: Rows of a shingle that one task of the exact join pairs with as many others; buckets that count shingles.
 HOT, BUCKETS = 2000, 1 << 18
+#: Edges that one task joins in memory (a few MB).
+LOCAL = 200_000
 NO_ID = -(2**63)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -181,20 +183,47 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "x_", "y_").mapInPandas(run, "a long, b long").distinct()
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of the component of each) of edges: labels fall to the least of a neighbour's, and of a label's own label."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id_, root_) of every node of an edge: the smallest node of its component, by alternating stars.
 
     Each step is written to the shared folder, also the least neighbours: a join of two tables can be split where one node
-    has very many edges. Only a count and a checksum reach the driver.
+    has very many edges. Only a count and a checksum reach the driver. As soon as LOCAL edges or fewer are left, one task ends it.
     """
 
     def least(rows: DataFrame) -> DataFrame:
         return written(rows.groupBy("u").agg(F.min("v").alias("m")), "least")
 
+    def end(batches: Iterable) -> Iterator:
+        import pandas as pd
+
+        rows = [pdf.to_numpy(np.int64) for pdf in batches if len(pdf)]
+        if rows:
+            u, v = np.concatenate(rows).T
+            nodes, roots = _joined(u, v)
+            yield pd.DataFrame({"id_": nodes, "root_": roots})
+
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if now["n"] <= LOCAL:
+            return e.select("u", "v").coalesce(1).mapInPandas(end, "id_ long, root_ long")
         if now == before:
             break
         before = now

@@ -112,3 +112,18 @@ def test_long_runs_lose_no_link(spark, monkeypatch, near):
     docs = list(enumerate(template(4, 300, 40) + [t for s, n in enumerate((2, 3, 30, 1)) for t in family(s, n)] + family(9, 1) * 5))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert got(near_dedup.near_duplicates(df, 2)) == brute(docs, 2)
+
+
+@pytest.mark.parametrize("local", [0, 40, 10**6])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(near_dedup, "LOCAL", local)
+    rng = random.Random(6)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(30)] + [(-5, 7), (7, 7), (300, 300)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.id_: r.root_ for r in got.collect()} == root and got.count() == len(root)
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).collect() == []
