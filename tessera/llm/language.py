@@ -25,6 +25,8 @@ SYMBOLS, ORDERS = 64, 3
 TRAIN_ROWS = 1600
 #: But so many of each language, however many languages there are: each is learned.
 LEAST_ROWS = 10
+#: Languages whose shares are broadcast (a few kB); with more, texts are shuffled.
+BROADCAST = 10_000
 LANDMARKS = 160
 RIDGE = 0.05
 #: Where the grams of order n begin among all.
@@ -139,7 +141,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     each = F.greatest(F.lit(float(rows)) / languages, F.lit(float(LEAST_ROWS)))
     shares = counts.withColumn("share_", F.least(F.lit(1.0), each / F.col("n_"))).withColumn("languages_", languages)
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # A row for each language: the planner broadcasts it unless there are very many.
+    n = counts.count()
+    shares = F.broadcast(shares) if n <= BROADCAST else shares
     taken = known.join(shares, "lang").where(unit < F.col("share_")).select("doc_id", "text", "lang")
 
     def run(batches: Iterable) -> Iterator:
@@ -148,7 +151,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["doc_id"], "lang": pdf["lang"], "grams": [grams(t).astype(np.int32) for t in pdf["text"]]})
 
-    most = max(2 * rows, 2 * LEAST_ROWS * counts.count())
+    most = max(2 * rows, 2 * LEAST_ROWS * n)
     found = taken.mapInPandas(run, "id long, lang string, grams array<int>").orderBy(F.xxhash64("id"), "id", "lang", "grams").limit(most).collect()
     return fit([(np.array(r["grams"], np.int64), r["lang"]) for r in found])
 
