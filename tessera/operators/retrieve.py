@@ -1,7 +1,7 @@
 """Candidate retrieval: an inverted index of rare weighted keys and a top-k set-similarity join.
 
 Everything is keyed by country, so labels never mix and new ones need no code. A key's frequency is capped on the index side
-before the join, so no key can match more than its cap.
+before the join, so no key can match more than its cap; keys of very many queries are dealt over parts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from tessera.sources.stage import staged
 
 #: Scores are compared to six places, so that the order of a sum can't decide.
 PLACES = 6
+KEY = ["country", "kind", "key"]
+#: Pairs that one task makes of a key at most; a key that makes more is dealt over parts by the queries' hash.
+PART_PAIRS = 4_000_000
 
 
 def _long(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -68,10 +71,24 @@ def key_weights(index_keys: DataFrame, specs: dict[str, tuple], scale: float = 1
     return df.join(sizes, "country").where(F.col("df") <= cap).select("country", "kind", "key", "df", F.when(F.col("kind") == "exact", F.lit(T.EXACT_WEIGHT)).otherwise(idf).alias("w"))
 
 
-def scored_pairs(query_keys: DataFrame, index_keys: DataFrame, weights: DataFrame) -> DataFrame:
-    """(country, q_id, s_id, score): the weighted number of keys that two records share."""
-    postings = index_keys.join(weights, ["country", "kind", "key"]).select("country", "kind", "key", F.col("id").alias("s_id"), "w")
-    pairs = query_keys.withColumnRenamed("id", "q_id").join(postings, ["country", "kind", "key"])
+def key_parts(query_keys: DataFrame, weights: DataFrame, most: int = PART_PAIRS) -> DataFrame:
+    """(country, kind, key, parts) of keys that make over `most` pairs. There are few: at most one for `most` pairs in all."""
+    n = query_keys.groupBy(*KEY).agg(F.count("*").alias("n_"))
+    parts = F.ceil(F.col("df") * F.col("n_") / most).cast("int")
+    return weights.join(n, KEY).select(*KEY, parts.alias("parts")).where("parts > 1")
+
+
+def scored_pairs(query_keys: DataFrame, index_keys: DataFrame, weights: DataFrame, most: int = PART_PAIRS) -> DataFrame:
+    """(country, q_id, s_id, score): the weighted number of keys that two records share.
+
+    The postings of a key that very many queries have are copied to each of its parts, so no task makes all of its pairs.
+    """
+    parts = staged(key_parts(query_keys, weights, most), "key-parts")
+    of = F.coalesce("parts", F.lit(1))
+    postings = index_keys.join(weights, KEY).join(parts, KEY, "left")
+    postings = postings.select(*KEY, F.explode(F.sequence(F.lit(0), of - 1)).alias("part"), F.col("id").alias("s_id"), "w")
+    queries = query_keys.join(parts, KEY, "left").select(*KEY, F.pmod(F.xxhash64("id"), of).cast("int").alias("part"), F.col("id").alias("q_id"))
+    pairs = queries.join(postings, [*KEY, "part"])
     return pairs.groupBy("country", "q_id", "s_id").agg(F.round(F.sum("w"), PLACES).alias("score"))
 
 
@@ -88,7 +105,7 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = 20, scale: float = 1
     ik, qk = staged(v3_record_keys(index), "index-keys"), staged(v3_record_keys(queries), "query-keys")
     groups = exact_groups(ik)
     ik, qk = resolved(ik, groups), resolved(qk, groups)
-    return top_k(scored_pairs(qk, ik, key_weights(ik, T.V3_KEYS, scale)), k)
+    return top_k(scored_pairs(qk, ik, staged(key_weights(ik, T.V3_KEYS, scale), "weights")), k)
 
 
 def block(s1: DataFrame, candidates: DataFrame, k: int = 200, min_score: float = 1.0) -> DataFrame:
@@ -96,5 +113,5 @@ def block(s1: DataFrame, candidates: DataFrame, k: int = 200, min_score: float =
     ck, sk = staged(v1_record_keys(candidates), "candidate-keys"), staged(v1_record_keys(s1), "s1-keys")
     groups = exact_groups(ck)
     ck, sk = resolved(ck, groups), resolved(sk, groups)
-    pairs = scored_pairs(sk, ck, key_weights(ck, T.V1_KEYS))
+    pairs = scored_pairs(sk, ck, staged(key_weights(ck, T.V1_KEYS), "weights"))
     return top_k(pairs, k, min_score).select("country", F.col("q_id").alias("s1_id"), F.col("s_id").alias("candidate_id"), "rank", "score")
