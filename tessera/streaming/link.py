@@ -1,7 +1,7 @@
 """New records come as files; each micro-batch is linked to a static index and its candidates are appended.
 
 The index is three static tables (keys, weights, exact groups). Every query is independent of the others, so a
-batch needs no state; Spark's checkpoint makes each file count once.
+batch needs no state; Spark's checkpoint makes each file count once. A batch's own stages are removed with it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.functions import tables as T
 from tessera.operators import retrieve
 from tessera.operators.normalize import normalized
-from tessera.sources.stage import staged
+from tessera.sources.stage import staged, stages_removed
 
 
 class Index:
@@ -33,6 +33,7 @@ def link_stream(records: DataFrame, index: Index, path: str, checkpoint: str, k:
     """Starts the stream of raw records (entity_id, source, country, name, address) into a Parquet table of candidates."""
 
     def batch(df: DataFrame, nth: int) -> None:
-        index.candidates(normalized(df), k).write.mode("overwrite").parquet(f"{path}/batch={nth}")
+        with stages_removed(df.sparkSession):
+            index.candidates(normalized(df), k).write.mode("overwrite").parquet(f"{path}/batch={nth}")
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

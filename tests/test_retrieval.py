@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import tables as T
@@ -54,3 +55,23 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     want = retrieve.retrieve(n.where("source = 'S1'"), n.where("source <> 'S1'"), 5)
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
     assert got.agg(F.max("rank")).first()[0] <= 4
+
+
+def test_hot_keys_in_parts(spark):
+    """Dealing keys over parts changes no pair and no score, and no part makes many more pairs than it may."""
+    q = spark.createDataFrame([("in", f"S2-{i}", "name", k) for i in range(300) for k in ("hot", f"own{i % 7}")], "country string, id string, kind string, key string")
+    s = spark.createDataFrame([("in", f"S1-{i}", "name", k) for i in range(20) for k in ("hot", f"own{i % 7}")], "country string, id string, kind string, key string")
+    w = retrieve.key_weights(s, T.V3_KEYS)
+    assert {r.key: r.parts for r in retrieve.key_parts(q, w, 1000).collect()} == {"hot": 6}
+    rows = lambda most: sorted(map(tuple, retrieve.scored_pairs(q, s, w, most).collect()))
+    assert rows(10**9) == rows(1000) == rows(1) and len(rows(1)) == 6000
+
+
+def test_stages_are_removed(spark):
+    from tessera.sources import files, stage
+
+    with pytest.raises(KeyError), stage.stages_removed(spark):
+        inner = stage.staged(spark.range(3), "gone").inputFiles()[0]
+        raise KeyError
+    kept = stage.staged(spark.range(3), "kept").inputFiles()[0]
+    assert not files.there(spark, inner) and files.there(spark, kept)
