@@ -6,6 +6,8 @@ predict --s1 F --others F [F ...] --model DIR --pairs DIR --out DIR   links reco
 recut   --s1 F --model DIR --pairs DIR --out DIR                 decides again from saved pairs, by the tuned rule or
         [--thr P | --floor P --extra N] [--blank COUNTRY,...]    another; none in blank countries
 check   --result F --s1 F [--valid F ...] [--candidates F]       findings in a result file
+probe   --result F --s1 F --blank COUNTRY,... --out DIR          the result file with the lists of some countries emptied, and how
+        [--candidates F]                                         many lines that is; the candidate file goes with it unchanged
 
 fit and predict leave alone what is there already, unless --force is given.
 """
@@ -18,9 +20,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import validate
+from tessera.operators import report, validate
 from tessera.plans import linkage
 from tessera.sources import files
+from tessera.sources.stage import stages_removed
 
 
 def raw_records(spark: SparkSession, s1: str, others: list[str]) -> DataFrame:
@@ -88,6 +91,23 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
     return len(found)
 
 
+def result_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(s_id, ids) of a result or candidate file or folder."""
+    rows = files.read_tsv(spark, path, files.GOLD).toDF("s_id", "ids")
+    return rows.where(F.col("s_id") != "source1_entity_id")
+
+
+def probe(spark: SparkSession, args: argparse.Namespace) -> None:
+    blank = [c for c in args.blank.split(",") if c]
+    s1 = files.read_tsv(spark, args.s1).select(F.col("entity_id").alias("s_id"), "country")
+    lines = result_lists(spark, args.result)
+    files.write_tsv(report.emptied(lines, s1, blank), f"{args.out}/matching_results.tsv", ("source1_entity_id", "matched_entity_ids"))
+    if args.candidates:
+        files.write_tsv(result_lists(spark, args.candidates), f"{args.out}/candidate_pairs.tsv", ("source1_entity_id", "candidate_entity_ids"))
+    for r in report.probe_counts(lines, s1, blank).orderBy("country").collect():
+        print(f"{r.country}: {'blanked' if r.blanked else 'kept'}, {r.entities} entities ({r.share:.4f} of all), {r['rows']} lines with matches")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tessera", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -115,11 +135,16 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--result", required=True)
     b.add_argument("--s1", required=True)
     b.add_argument("--valid", nargs="*", default=[])
+    d = commands.add_parser("probe")
+    d.add_argument("--candidates")
+    for name in ("--result", "--s1", "--blank", "--out"):
+        d.add_argument(name, required=True)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tessera").getOrCreate()  # master and memory come from spark-submit
-    if args.command == "check":
-        return int(check(spark, args) > 0)
-    {"link": link, "fit": fit, "predict": predict, "recut": recut}[args.command](spark, args)
+    with stages_removed(spark):
+        if args.command == "check":
+            return int(check(spark, args) > 0)
+        {"link": link, "fit": fit, "predict": predict, "recut": recut, "probe": probe}[args.command](spark, args)
     return 0
 
 

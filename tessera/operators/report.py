@@ -43,3 +43,21 @@ def leaderboard(shares: DataFrame, full: float, blank: float) -> DataFrame:
     """A country's F0.5 from two scores: with its rows, and with them emptied. A country's emptied rows still score its
     share of entities without matches: F = singletons + (full - blank) / share."""
     return shares.withColumn("f05", F.round(F.col("singletons") + (F.lit(full) - F.lit(blank)) / F.col("share"), 6))
+
+
+def emptied(lines: DataFrame, s1: DataFrame, blank: list[str]) -> DataFrame:
+    """Result lines (s_id, ids), with an empty list for entities of the blank countries; s1: (s_id, country). Other lines, also those of
+    unknown entities, stay as they are."""
+    rows = lines.join(s1.select("s_id", F.col("country").alias("of_")).distinct(), "s_id", "left")
+    return rows.withColumn("ids", F.when(F.col("of_").isin(blank), F.lit("")).otherwise(F.col("ids"))).drop("of_")
+
+
+def probe_counts(lines: DataFrame, s1: DataFrame, blank: list[str]) -> DataFrame:
+    """(country, blanked, entities, share, rows): how many entities each country has, and how many lines with matches a probe keeps or
+    empties; lines are those before."""
+    own = s1.select("s_id", "country").distinct()
+    sizes = own.groupBy("country").agg(F.count("*").alias("entities"))
+    total = sizes.agg(F.sum("entities").alias("all_"))
+    full = lines.where("ids <> ''").join(own, "s_id").groupBy("country").agg(F.count("*").alias("rows"))
+    out = sizes.join(full, "country", "left").join(F.broadcast(total))
+    return out.select("country", F.col("country").isin(blank).alias("blanked"), "entities", F.round(F.col("entities") / F.col("all_"), 6).alias("share"), F.coalesce("rows", F.lit(0)).alias("rows"))

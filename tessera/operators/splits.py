@@ -50,6 +50,15 @@ def fold(q_id: Column, how: str = "crc32") -> Column:
     return bucket(q_id, 2, how)
 
 
+def relevant(top: DataFrame, owners: DataFrame, report_pct: int = 4, tune_pct: int = 4, how: str = "crc32") -> DataFrame:
+    """Records (country, q_id) of top pairs that tuning or the report need: their owner or one of their top candidates is a report
+    or tune entity."""
+    held = lambda x: role(x, report_pct, tune_pct, how) > 0
+    owned = owners.where(held(F.col("s_id"))).select("q_id").distinct().withColumn("own_", F.lit(True))
+    near = top.groupBy("country", "q_id").agg(F.max(held(F.col("s_id"))).alias("near_"))
+    return near.join(owned, "q_id", "left").where(F.col("near_") | F.col("own_")).select("country", "q_id")
+
+
 def sampled(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
     """n rows by the order of a salted hash; the same rows on every run. Spark keeps n rows a task for it."""
     return df.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(key))), key).limit(n)

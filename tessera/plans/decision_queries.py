@@ -117,6 +117,13 @@ def top_pairs(spark, sf):
     return C.context_features(scored(spark, sf)).where(F.col("p1_rank") < TOP_M).select("country", "q_id", "s_id")
 
 
+@R.query(f"""WITH {SCORED}, {GOLD_SQL}, top AS ({_top}), r AS (SELECT t.country, t.q_id, t.s_id, {bucket_sql('t.s_id', 100)} < 8 OR coalesce({bucket_sql('g.s_id', 100)} < 8, false) AS held FROM top t LEFT JOIN gold g ON g.q_id = t.q_id)
+SELECT country, q_id FROM r GROUP BY ALL HAVING bool_or(held)""")
+def stage2_relevant(spark, sf):
+    """Records whose second stage tuning and the report need."""
+    return SP.relevant(top_pairs(spark, sf), gold(spark, sf), how=MD5)
+
+
 for _name, _tau, _cap in (("sibling_pairs", 0.5, 10), ("neighbour_pairs", 0.0, 15)):
     R.add(_name, lambda spark, sf, t=_tau, c=_cap: C.sibling_pairs(top_pairs(spark, sf), best(spark, sf), t, c), f"WITH {_SIB.format(best=BEST, top=_top, tau=_tau, cap=_cap)} SELECT * FROM sib")
 
@@ -319,6 +326,18 @@ def recut_blank(spark, sf):
     return result(spark, sf, "france")
 
 
+@R.query(f"""WITH {_RESULT}, t AS (SELECT e.country, count(*) AS entities, count(l.ids) AS rows FROM ent e LEFT JOIN lst l ON e.s_id = l.s_id GROUP BY e.country)
+SELECT country, country = 'france' AS blanked, entities, round(entities::DOUBLE / sum(entities) OVER (), 6) AS share, rows FROM t""")
+def probe_counts(spark, sf):
+    return RP.probe_counts(result(spark, sf), entities(spark, sf), ["france"])
+
+
+@R.query(f"WITH {_RESULT} SELECT e.s_id, CASE WHEN e.country = 'france' THEN '' ELSE coalesce(ids, '') END AS ids FROM ent e LEFT JOIN lst l ON e.s_id = l.s_id")
+def probe_make(spark, sf):
+    """The result file with one country's lines emptied."""
+    return RP.emptied(result(spark, sf), entities(spark, sf), ["france"])
+
+
 # ---- validation
 
 LINES = ["source1_entity_id\tmatched_entity_ids", "S1-1\tS2-1,S3-2", "S1-2\t", "S1-2\tS2-4", "S1-3\tS2-5,S2-5", "S1-4\tS1-9,X-1", "no tab here", "S1-99\tS2-77"]

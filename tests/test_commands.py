@@ -58,3 +58,15 @@ def test_fit_predict_and_recut(spark, tmp_path, monkeypatch, capsys):
     assert sum(f"S2-{i}" in every[f"S1-{i}"].split(",") for i in range(len(names))) > 0.9 * len(names)
     assert commands.main([*recut, "--out", at("blank"), "--thr", "0", "--blank", "India"]) == 0
     assert set(lines_of(tmp_path / "blank/matching_results.tsv").values()) == {""} and lines_of(tmp_path / "blank/candidate_pairs.tsv") == candidates
+
+
+def test_probe(spark, tmp_path, capsys):
+    (tmp_path / "s1.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-0\ta\tb\tIndia\nS1-1\ta\tb\tUS\nS1-2\ta\tb\tIndia\nS1-3\ta\tb\tUS\n")
+    (tmp_path / "r.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-0\tS2-0\nS1-1\tS2-1,S3-1\nS1-2\t\nS1-9\tS2-9\n")
+    (tmp_path / "c.tsv").write_text("source1_entity_id\tcandidate_entity_ids\nS1-0\tS2-0\n")
+    at = lambda name: str(tmp_path / name)
+    assert commands.main(["probe", "--result", at("r.tsv"), "--s1", at("s1.tsv"), "--blank", "India,FR", "--out", at("p"), "--candidates", at("c.tsv")]) == 0
+    assert lines_of(tmp_path / "p/matching_results.tsv") == {"S1-0": "", "S1-1": "S2-1,S3-1", "S1-2": "", "S1-9": "S2-9"}
+    assert lines_of(tmp_path / "p/candidate_pairs.tsv") == {"S1-0": "S2-0"}
+    printed = capsys.readouterr().out
+    assert "India: blanked, 2 entities (0.5000 of all), 1 lines" in printed and "US: kept, 2 entities (0.5000 of all), 1 lines" in printed
