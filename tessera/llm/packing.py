@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_slices, written
-from tessera.llm.tokens import encoder, forget
+from tessera.llm.tokens import SMALL_CACHE_BYTES, encoder, forget
 
 WINDOW = 4096
 #: Remainders that a bucket should hold: few windows stay open, and a task needs little memory.
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDO
     def cut(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        of = encoder(tokenizer)
+        of = encoder(tokenizer, SMALL_CACHE_BYTES if release else None)
         kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()

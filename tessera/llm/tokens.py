@@ -23,7 +23,9 @@ from tessera.llm.common import trim
 
 #: Bytes that a worker keeps pieces and their ids in, before it keeps those of its last texts that came again only;
 #: what a piece takes beside its characters and ids.
-CACHE_BYTES, PIECE_BYTES = 32 << 20, 200
+CACHE_BYTES, PIECE_BYTES = 128 << 20, 200
+#: The same where memory is short, as after other stages in the same worker.
+SMALL_CACHE_BYTES = 32 << 20
 #: Characters cut into pieces at a time.
 SLICE = 2_000_000
 #: Words that one call merges.
@@ -40,10 +42,11 @@ _TAIL = re.compile(rf"{_MARK}(?<={_LETTER}{_MARK}){_MARK}*(?= )")
 _encoders: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
-    """One encoder of a vocabulary file for each worker."""
+def encoder(path: str, cache_bytes: int | None = None) -> "Encoder":
+    """One encoder of a vocabulary file for each worker, which keeps pieces in cache_bytes (CACHE_BYTES if not given)."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache_bytes = CACHE_BYTES if cache_bytes is None else cache_bytes
     return _encoders[path]
 
 
@@ -84,6 +87,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = {}
         self.held = 0
+        self.cache_bytes = CACHE_BYTES
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
@@ -121,14 +125,14 @@ class Encoder:
         known.update(zip(bare, self.whole([p[1:] for p in bare])))
 
     def _keep(self, new: list[str], pieces: list[str], which: np.ndarray) -> None:
-        """Holds `known` to CACHE_BYTES: beyond, only pieces that came twice or more in the texts at hand stay."""
+        """Holds `known` to cache_bytes: beyond, only pieces that came twice or more in the texts at hand stay."""
         known = self.known
         self.held += sum(len(p) + len(known[p] or b"") + PIECE_BYTES for p in new)
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             again = [pieces[i] for i in np.flatnonzero(np.bincount(which, minlength=len(pieces)) > 1)]
             self.known = {p: known[p] for p in again}
             self.held = sum(len(p) + len(x or b"") + PIECE_BYTES for p, x in self.known.items())
-            if self.held > CACHE_BYTES // 2:
+            if self.held > self.cache_bytes // 2:
                 self.known, self.held = {}, 0
 
     def _merge(self, words: list[str]) -> None:
