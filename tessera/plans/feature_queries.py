@@ -15,7 +15,6 @@ from tessera.plans.fixtures import GOLD_SQL, gold, norm, stage
 from tessera.plans.retrieval_queries import RETRIEVED, V1_SQL, candidates, v1_records
 
 R = Registry()
-NEAREST = 5
 
 
 def encoded(spark, sf):
@@ -26,21 +25,13 @@ def encoded(spark, sf):
     return stage(spark, sf, "encoded", make)
 
 
-def nearest(spark, sf):
-    return candidates(spark, sf).where(F.col("rank") < NEAREST)
-
-
-def all_features(spark, sf):
-    """Pair features of all retrieved candidates, for queries that no SQL holds to the nearest."""
-    return stage(spark, sf, "all_features", lambda: O.pair_features(candidates(spark, sf), encoded(spark, sf), strings=False))
-
-
 def features(spark, sf):
-    return stage(spark, sf, "features", lambda: O.pair_features(nearest(spark, sf), encoded(spark, sf), strings=False))
+    """Pair features of all retrieved candidates."""
+    return stage(spark, sf, "features", lambda: O.pair_features(candidates(spark, sf), encoded(spark, sf), strings=False))
 
 
-NEAR_SQL = f"{RETRIEVED}, near AS (SELECT * FROM cand WHERE rank < {NEAREST}), {Q.fields('norm', 'enc')}"
-PAIRS_SQL = f"{NEAR_SQL}, {Q.both('near', 'enc', 'prs')}"
+ENCODED_SQL = f"{RETRIEVED}, {Q.fields('norm', 'enc')}"
+PAIRS_SQL = f"{ENCODED_SQL}, {Q.both('cand', 'enc', 'prs')}"
 GROUPS = {
     "weighted_jaccard": [c for c in Q.kernel() if c.startswith("n_")], "phonetic_jaccard": ["ph_jacc"], "address_jaccard": [c for c in Q.kernel() if c.startswith("a_")],
     "number_overlap": list(Q.numbers("a", "b")), "unit_match": ["unit_shared", "unit_conflict"], "pin_state_match": ["pin_eq", "pin_conflict", "st_eq", "st_conflict"],
@@ -51,7 +42,7 @@ for _name, _columns in GROUPS.items():
     R.add(_name, lambda spark, sf, c=tuple(_columns): features(spark, sf).select("country", "q_id", "s_id", *c), f"WITH {PAIRS_SQL} SELECT country, q_id, s_id, {Q.selected({c: _ALL[c] for c in _columns})} FROM prs")
 
 
-@R.query(f"WITH {NEAR_SQL} SELECT country, word, df_name, df_addr, round(w_name, 6) AS w_name, round(w_addr, 6) AS w_addr FROM encstats")
+@R.query(f"WITH {ENCODED_SQL} SELECT country, word, df_name, df_addr, round(w_name, 6) AS w_name, round(w_addr, 6) AS w_addr FROM encstats")
 def word_weights(spark, sf):
     f = O.fields(norm(spark, sf).where("source = 'S1'"))
     return O.word_stats(f).withColumns({c: F.round(c, 6) for c in ("w_name", "w_addr")})
@@ -66,7 +57,7 @@ def retrieval_features(spark, sf):
 
 @R.query(f"""WITH {PAIRS_SQL} SELECT country, q_id, s_id, CASE WHEN q_core = '' OR s_core = '' THEN 0 ELSE round(jaro_winkler_similarity(replace(q_core, ' ', ''), replace(s_core, ' ', '')), 6) END AS n_jw FROM prs""")
 def jaro_winkler(spark, sf):
-    both = O.both_sides(nearest(spark, sf).select("country", "q_id", "s_id"), encoded(spark, sf))
+    both = O.both_sides(candidates(spark, sf).select("country", "q_id", "s_id"), encoded(spark, sf))
     tight = lambda r: F.replace(F.col(r)["core"], F.lit(" "), F.lit(""))
     return both.select("country", "q_id", "s_id", fuzzy.similarity("jaro_winkler", tight("q"), tight("s")).alias("n_jw"))
 
@@ -84,9 +75,9 @@ _digits = lambda x: f"list_distinct({T.kept(T.words(x), chr(39).join(['regexp_ma
 _len = lambda a, b: f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE least(length({a}), length({b}))::DOUBLE / greatest(length({a}), length({b})) END"
 
 
-@R.query(f"""WITH {RETRIEVED}, v1a AS{V1_SQL.split("v1a AS")[1]}, near AS (SELECT * FROM cand WHERE rank < {NEAREST}),
+@R.query(f"""WITH {RETRIEVED}, v1a AS{V1_SQL.split("v1a AS")[1]},
 p AS (SELECT n.country, q_id, s_id, q.name_core AS n1, q.addr_normalized AS a1, q.addr_numbers AS x1, s.name_core AS n2, s.addr_normalized AS a2, s.addr_numbers AS x2
-  FROM near n JOIN v1 q ON n.q_id = q.entity_id JOIN v1 s ON n.s_id = s.entity_id),
+  FROM cand n JOIN v1 q ON n.q_id = q.entity_id JOIN v1 s ON n.s_id = s.entity_id),
 l AS (SELECT *, {_least('n1', 2)} AS nt1, {_least('n2', 2)} AS nt2, {_least('a1', 3)} AS at1, {_least('a2', 3)} AS at2, {_digits('x1')} AS d1, {_digits('x2')} AS d2 FROM p)
 SELECT country, q_id, s_id, round({Q.jaccard('nt1', 'nt2')}, 6) AS name_jaccard, round({Q.jaccard('at1', 'at2')}, 6) AS addr_jaccard, round({Q.jaccard('d1', 'd2')}, 6) AS num_jaccard,
   round({_len('n1', 'n2')}, 6) AS name_len_ratio, round({_len('a1', 'a2')}, 6) AS addr_len_ratio, {Q.flag('length(n1) >= 4 AND length(n2) >= 4 AND (contains(n1, n2) OR contains(n2, n1))')} AS name_contains,
@@ -96,7 +87,7 @@ def pair_jaccard(spark, sf):
     r = v1_records(spark, sf).select("entity_id", *_V1)
     q = r.select(F.col("entity_id").alias("q_id"), *[F.col(c).alias(f"q_{c}") for c in _V1])
     s = r.select(F.col("entity_id").alias("s_id"), *[F.col(c).alias(f"s_{c}") for c in _V1])
-    both = nearest(spark, sf).select("country", "q_id", "s_id").join(q, "q_id").join(s, "s_id")
+    both = candidates(spark, sf).select("country", "q_id", "s_id").join(q, "q_id").join(s, "s_id")
     cols = S.v1_features(*[F.col(f"{x}_{c}") for x in "qs" for c in _V1])
     return both.select("country", "q_id", "s_id", *[F.round(c, 6).alias(k) if k.endswith(("jaccard", "ratio")) else c.alias(k) for k, c in cols.items()])
 
