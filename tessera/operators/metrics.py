@@ -15,11 +15,21 @@ def entity_scores(entities: DataFrame, truth: DataFrame, predicted: DataFrame) -
     both = t.withColumn("t_", F.lit(1)).join(p.withColumn("p_", F.lit(1)), ["s_id", "q_id"], "full_outer")
     counts = both.groupBy("s_id").agg(F.count("t_").alias("n_true"), F.count("p_").alias("n_pred"), F.count(F.col("t_") + F.col("p_")).alias("hit"))
     e = entities.select("country", "s_id").distinct().join(counts, "s_id", "left").na.fill(0, ["n_true", "n_pred", "hit"])
-    nothing = F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)
-    ratio = lambda of: F.when(F.col("n_true") == 0, nothing).when(F.col(of) == 0, 0.0).otherwise(F.col("hit") / F.greatest(F.col(of), F.lit(1)))
-    pr, rc = F.col("precision"), F.col("recall")
-    f = F.when(F.col("n_true") == 0, nothing).when(F.col("hit") == 0, 0.0).otherwise(1.25 * pr * rc / (0.25 * pr + rc))
-    return e.withColumns({"precision": ratio("n_pred"), "recall": ratio("n_true")}).withColumn("f05", f)
+    counted = [F.col(c) for c in ("n_true", "n_pred", "hit")]
+    return e.withColumns({"precision": _share(*counted, "n_pred"), "recall": _share(*counted, "n_true"), "f05": f_half(*counted)})
+
+
+def _share(n_true: Column, n_pred: Column, hit: Column, of: str) -> Column:
+    nothing = F.when(n_pred == 0, 1.0).otherwise(0.0)
+    whole = n_pred if of == "n_pred" else n_true
+    return F.when(n_true == 0, nothing).when(whole == 0, 0.0).otherwise(hit / F.greatest(whole, F.lit(1)))
+
+
+def f_half(n_true: Column, n_pred: Column, hit: Column) -> Column:
+    """F0.5 of an entity by its numbers of matches, predictions and right ones."""
+    pr, rc = _share(n_true, n_pred, hit, "n_pred"), _share(n_true, n_pred, hit, "n_true")
+    nothing = F.when(n_pred == 0, 1.0).otherwise(0.0)
+    return F.when(n_true == 0, nothing).when(hit == 0, 0.0).otherwise(1.25 * pr * rc / (0.25 * pr + rc))
 
 
 def group_of(n: Column) -> Column:

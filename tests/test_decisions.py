@@ -118,6 +118,29 @@ def test_long_lists_go_the_other_way(spark):
     assert got[:3] == [brute_k(x, 0.1) for x in lists[:3]]
 
 
+def plain_k(ps, extra):
+    """The best k by the distributions of hits before and after each place."""
+    def hits(xs):
+        d = [1.0]
+        for p in xs:
+            d = [(d[j] if j < len(d) else 0) * (1 - p) + (d[j - 1] * p if j else 0) for j in range(len(d) + 1)]
+        return d
+
+    values = [round(math.prod(1 - p for p in ps) * math.exp(-extra), 9)]
+    for k in range(1, len(ps) + 1):
+        left, right = hits(ps[:k]), hits(ps[k:])
+        values.append(round(sum(x * y * 1.25 * a / (0.25 * (a + u + extra) + k) for a, x in enumerate(left) for u, y in enumerate(right)), 9))
+    return values.index(max(values))
+
+
+@pytest.mark.parametrize("extra", [0.0, 0.5])
+def test_long_lists_equal_the_plain_sum(extra):
+    rng = random.Random(9)
+    lists = [sorted((rng.random() ** power for _ in range(n)), reverse=True) for n in (1, 2, 5, 17, 26, 60) for power in (0.2, 1, 4, 30)]
+    lists += [[1.0] * 7, [0.0] * 7, [1.0, 0.5, 0.0]]
+    assert [decide.best_k_of_many(decide.np.array(x), extra) for x in lists] == [plain_k(x, extra) for x in lists]
+
+
 def test_tuned_rule(spark):
     best = spark.createDataFrame([("c", "q0", "s0", 0.9), ("c", "q1", "s0", 0.4), ("c", "q2", "s1", 0.3)], "country string, q_id string, s_id string, p double")
     e = spark.createDataFrame([("c", "s0"), ("c", "s1")], "country string, s_id string")
@@ -125,3 +148,17 @@ def test_tuned_rule(spark):
     rule, f = decide.tuned(best, e, truth)
     assert rule == {"method": "thr", "thr": 0.325} and f == 1.0
     assert len(decide.rules()) == 39 + 15 and len(decide.V1_THRESHOLDS) == 38
+
+
+def test_tuned_rule_equals_rules_one_by_one(spark):
+    rng = random.Random(10)
+    pairs = [("c", f"q{i}", f"s{rng.randint(0, 9) ** 2 // 8}", round(rng.random(), 3), round(rng.random(), 2)) for i in range(60)]
+    best = spark.createDataFrame(pairs, "country string, q_id string, s_id string, p double, c double")
+    e = spark.createDataFrame([("c", f"s{i}") for i in range(0, 12, 2)], "country string, s_id string")
+    truth = spark.createDataFrame([(q, s if rng.random() < 0.6 else f"s{rng.randint(0, 11)}") for _, q, s, _, _ in pairs], "q_id string, s_id string")
+    tried = [{"method": "thr", "thr": t} for t in (0.1, 0.5, 0.9)] + [{"method": "ef", "floor": f, "extra": x} for f in (0.02, 0.3) for x in (0.0, 0.5)]
+    near = best.join(e.select("s_id"), "s_id", "left_semi")
+    each = [round(metrics.entity_scores(e, truth, decide.apply_rule(near, rule)).agg(F.avg("f05")).first()[0], 9) for rule in tried]
+    for some, values in ((tried, each), (tried[:3], each[:3]), (tried[::-1], each[::-1])):
+        assert decide.tuned(best, e, truth, some) == (some[values.index(max(values))], max(values))
+    assert decide.tuned(best, e.where("false"), truth, tried) == (tried[0], 0.0)
