@@ -1,6 +1,6 @@
 """New records come as files; each micro-batch is linked to a static index and its candidates are appended.
 
-The index is three static tables (keys, weights, exact groups). Every query is independent of the others, so a
+The index is static tables (ids, keys with weights, postings, exact groups). Every query is independent of the others, so a
 batch needs no state; Spark's checkpoint makes each file count once. A batch's own stages are removed with it.
 """
 
@@ -19,14 +19,15 @@ class Index:
     """Postings of Source-1 records, made once."""
 
     def __init__(self, s1: DataFrame, scale: float = 1.0):
+        self.ids, s1 = retrieve.numbered(s1)
         keys = staged(retrieve.v3_record_keys(s1), "index-keys")
         self.groups = staged(retrieve.exact_groups(keys), "index-groups")
-        self.keys = staged(retrieve.resolved(keys, self.groups), "index-resolved")
-        self.weights = staged(retrieve.key_weights(self.keys, T.V3_KEYS, scale), "index-weights")
+        keys = staged(retrieve.resolved(keys, self.groups), "index-resolved")
+        self.known, self.postings = retrieve.postings(keys, retrieve.key_weights(keys, T.V3_KEYS, scale))
 
     def candidates(self, records: DataFrame, k: int = 20) -> DataFrame:
         keys = retrieve.resolved(retrieve.v3_record_keys(records), self.groups)
-        return retrieve.top_k(retrieve.scored_pairs(keys, self.keys, self.weights), k)
+        return retrieve.best_pairs(keys, self.known, self.postings, self.ids, k)
 
 
 def link_stream(records: DataFrame, index: Index, path: str, checkpoint: str, k: int = 20) -> StreamingQuery:

@@ -75,3 +75,32 @@ def test_stages_are_removed(spark):
         raise KeyError
     kept = stage.staged(spark.range(3), "kept").inputFiles()[0]
     assert not files.there(spark, inner) and files.there(spark, kept)
+
+
+def test_best_pairs_equal_the_plain_join(spark):
+    """Blocks, parts and steps change no pair, score or rank; records with two rows and ids that sort unlike numbers are kept."""
+    import random
+
+    r = random.Random(3)
+    rows = lambda x, n: [(r.choice(["in", "us"]), f"{x}-{i}", "name", f"k{int(r.paretovariate(0.6)) % 40}") for i in range(n) for _ in range(6)]
+    q = spark.createDataFrame([*rows("S2", 90), ("fr", "S2-x", "name", "k1")], "country string, id string, kind string, key string")
+    s = spark.createDataFrame(rows("S1", 70), "country string, id string, kind string, key string")
+    w = retrieve.key_weights(s, T.V3_KEYS)
+    want = retrieve.top_k(retrieve.scored_pairs(q, s, w), 5, 1.0)
+    ids, own = retrieve.numbered(s.withColumnRenamed("id", "entity_id"))
+    order = [(x.country, x.id) for x in ids.orderBy("nth").collect()]
+    assert order == sorted(order) and sorted(x.nth for x in ids.collect()) == list(range(len(order)))
+    for block in (200_000, 16):
+        known, lists = retrieve.postings(own.withColumnRenamed("entity_id", "id").select(*s.columns), w, block)
+        got = retrieve.best_pairs(q, known, lists, ids, 5, 1.0, block, 300)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_retrieval_shuffles_no_pairs(spark):
+    rows = [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", "in", f"sharma traders w{i % 4}", "srm trdrs", "gandhi road", f"{i % 5 + 10} 600001", "") for i in range(60)]
+    df = spark.createDataFrame(rows, NORM)
+    found = retrieve.retrieve(df.where("source = 'S1'"), df.where("source <> 'S1'"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sum(w" not in plan and "Window" not in plan and found.count() == 120
+    none = retrieve.retrieve(df.where("source = 'S9'"), df.where("source <> 'S1'"), 3)
+    assert none.isEmpty()
