@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.similarity import rounded
 from tessera.operators import context as C
 from tessera.operators import decide as D
 from tessera.operators import features as FE
@@ -80,7 +81,7 @@ def negative_sampling(spark, sf):
 def scored(spark, sf):
     """Retrieved pairs with p, a stand-in for a model's probability."""
     c = FE.retrieval_features(candidates(spark, sf))
-    p = F.round(F.col("score") / (F.col("score") + 30) * F.col("ret_rel"), 6)
+    p = rounded(F.col("score") / (F.col("score") + 30) * F.col("ret_rel"), 6)
     return stage(spark, sf, "scored", lambda: c.select("country", "q_id", "s_id", p.alias("p")))
 
 

@@ -11,7 +11,7 @@ from tessera.plans.retrieval_queries import RETRIEVED
 from test_registry import ORACLES, rows_of
 
 #: Queries that show scores, or what is made of them.
-SCORED = ["retrieval_features"]
+SCORED = ["retrieval_features", "stage1_context"]
 
 
 def same(spark, duck, name, sf, sql):
@@ -36,7 +36,7 @@ def halves(spark, tmp_path_factory):
     return sf, con
 
 
-@pytest.mark.parametrize("name", ["retrieval_features"])
+@pytest.mark.parametrize("name", ["retrieval_features", "stage1_context"])
 def test_halves_are_rounded_as_in_the_sql(spark, halves, name):
     sf, con = halves
     assert RETRIEVED in ORACLES[name]
