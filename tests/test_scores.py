@@ -11,7 +11,7 @@ from tessera.plans.retrieval_queries import RETRIEVED
 from test_registry import ORACLES, rows_of
 
 #: Queries that show scores, or what is made of them.
-SCORED = ["retrieval_features", "stage1_context", "best_owner", "calibration_knots", "expected_f_decide", "expected_f_extra", "recut_blank", "result_file"]
+SCORED = ["retrieval_features", "stage1_context", "best_owner", "calibration_knots", "expected_f_decide", "expected_f_extra", "recut_blank", "result_file", "sibling_pairs"]
 
 
 def same(spark, duck, name, sf, sql):
