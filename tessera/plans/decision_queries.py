@@ -311,9 +311,10 @@ _RESULT = f"{BEST}, {ENTITIES}, lst AS (SELECT s_id, string_agg(q_id, ',' ORDER
 
 
 def result(spark, sf, blank: str = ""):
-    e = entities(spark, sf)
-    matches = threshold_decide(spark, sf).where(F.col("country") != blank).withColumn("rank", -F.col("p"))
-    return IO.result_lines(e.select(F.col("s_id").alias("id")), matches)
+    """Result lines; those of a blank country's entities are empty, whichever country their matches have."""
+    e = entities(spark, sf).select(F.col("s_id").alias("id"), F.col("country").eqNullSafe(blank).alias("blank"))
+    lines = IO.result_lines(e.where("NOT blank"), threshold_decide(spark, sf).withColumn("rank", -F.col("p")))
+    return lines.unionByName(e.where("blank").select(F.col("id").alias("s_id"), F.lit("").alias("ids")))
 
 
 @R.query(f"WITH {_RESULT} SELECT e.s_id, coalesce(ids, '') AS ids FROM ent e LEFT JOIN lst l ON e.s_id = l.s_id")

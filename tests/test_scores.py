@@ -63,3 +63,22 @@ def edges(tmp_path_factory):
 def test_word_edges_reach_no_score(spark, edges, name):
     sf, con = edges
     same(spark, con, name, sf, ORACLES[name])
+
+
+def test_blank_country_is_the_entitys(spark, tmp_path):
+    """Candidates of another country than their entity's: the list to empty goes by the entity."""
+    ents = [("us", "S1-0"), ("france", "S1-3"), ("france", "S1-6"), ("india", "S1-9")]
+    pairs = [("us", "S2-1", "S1-0"), ("us", "S2-4", "S1-3"), ("france", "S3-2", "S1-3"), ("france", "S3-5", "S1-9"), ("india", "S2-7", "S1-9")]
+    rows = [(*x, 0, 100.0 + i) for i, x in enumerate(pairs)]
+    stages = {
+        "norm": spark.createDataFrame(ents, "country string, entity_id string").selectExpr("*", "'S1' AS source"),
+        "candidates": spark.createDataFrame(rows, "country string, q_id string, s_id string, rank int, score double"),
+    }
+    fixtures._stages.update({(spark.sparkContext.applicationId, str(tmp_path), k): v for k, v in stages.items()})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE normed (country VARCHAR, entity_id VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO normed VALUES (?, ?, 'S1')", ents)
+    con.execute("CREATE TABLE given (country VARCHAR, q_id VARCHAR, s_id VARCHAR, rank BIGINT, score DOUBLE)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?, ?, ?)", rows)
+    assert RETRIEVED in ORACLES["recut_blank"]
+    same(spark, con, "recut_blank", str(tmp_path), ORACLES["recut_blank"].replace(RETRIEVED, "norm AS (SELECT * FROM normed), cand AS (SELECT * FROM given)"))
